@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import exact, quality, simhash
-from panelmark.llm.common import in_fold, table
+from panelmark.llm import exact, minhash, mixing, quality, simhash, urls
+from panelmark.llm.common import in_fold, partitions, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, ranking).select("doc_id", in_fold(F.col("doc_id"), quality.FOLDS).alias("held_out"), "score", "predicted")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(table(spark, sf_dir, "documents"), partitions(spark))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -23,9 +31,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = urls.labelled(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op7_simhash_near_dedup, op9_exact_dedup)
+    for f in (op1_quality_classifier, op2_mix_sources, op5_document_fingerprints, op7_simhash_near_dedup, op9_exact_dedup, op10_url_filters)
 }
 
 ORACLES = {
