@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import exact, minhash, mixing, quality, simhash, urls
+from panelmark.llm import exact, langmodel, minhash, mixing, quality, simhash, substrings, urls
 from panelmark.llm.common import in_fold, partitions, table
 
 
@@ -23,10 +23,20 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"), partitions(spark))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x.stop - x.start)
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -38,7 +48,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_mix_sources, op5_document_fingerprints, op7_simhash_near_dedup, op9_exact_dedup, op10_url_filters)
+    for f in (op1_quality_classifier, op2_mix_sources, op5_document_fingerprints, op6_lm_scoring, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_exact_dedup, op10_url_filters)
 }
 
 ORACLES = {
