@@ -34,10 +34,10 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
         several = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(shingle)]))
         return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(several)
 
-    return _let(F.transform(words, lambda x: F.xxhash64(x)), of)
+    return let(F.transform(words, lambda x: F.xxhash64(x)), of)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """body over value, evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -49,7 +49,7 @@ def bins_of(hashes: Column) -> Column:
     """
     ends = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.shiftleft(b.cast("long"), 64 - BIN_BITS).bitwiseOR(F.lit(LOW)))
     # sorting is by signed values, which only turns the bins' order; equal bins stay together
-    return _let(F.sort_array(F.concat(hashes, ends)), lambda s: F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h, 64 - BIN_BITS) != F.shiftrightunsigned(F.get(s, i - 1), 64 - BIN_BITS))))
+    return let(F.sort_array(F.concat(hashes, ends)), lambda s: F.filter(s, lambda h, i: (i == 0) | (F.shiftrightunsigned(h, 64 - BIN_BITS) != F.shiftrightunsigned(F.get(s, i - 1), 64 - BIN_BITS))))
 
 
 def _empty(value: Column) -> Column:
@@ -71,7 +71,7 @@ def densified(bins: Column) -> Column:
 
         return F.when(F.exists(b, _empty) & F.exists(b, lambda v: ~_empty(v)), F.transform(b, lambda v, i: F.when(_empty(v), draw(i)).otherwise(v))).otherwise(b)
 
-    return _let(bins, fill)
+    return let(bins, fill)
 
 
 def sketch(text: Column, shingle: int = SHINGLE) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm import exact, langmodel, minhash, mixing, quality, simhash, substrings, urls
+from panelmark.llm import exact, langmodel, licenses, minhash, mixing, pieces, quality, simhash, substrings, urls
 from panelmark.llm.common import in_fold, partitions, table
 
 
@@ -19,6 +19,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"), partitions(spark))
 
@@ -48,7 +56,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_mix_sources, op5_document_fingerprints, op6_lm_scoring, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_exact_dedup, op10_url_filters)
+    for f in (op1_quality_classifier, op2_mix_sources, op3_sentencepiece, op4_license_scan, op5_document_fingerprints, op6_lm_scoring, op7_simhash_near_dedup, op8_suffix_array_dedup, op9_exact_dedup, op10_url_filters)
 }
 
 ORACLES = {

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from panelmark.llm.common import partitions, saved
 from panelmark.llm.components import components
+from panelmark.llm.exact import without_rows
 
 SHINGLE = 3
 RADIUS = 3
@@ -188,3 +189,34 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -
     of_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_print = rooted.join(of_root, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group, the one with the smallest doc_id (null last), with all columns of docs.
+
+    Rows with an equal doc_id and an equal fingerprint are one another's copies; one of them stays.
+    """
+    groups = saved(near_groups(docs, shingle, radius))
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = saved(twice)
+    rest = without_rows(docs, saved(gone.union(twice).distinct()), {"doc_id": F.col("doc_id")})
+    if twice.isEmpty():
+        return rest
+    # repeated ids: the row is chosen among all with the id that leads its group
+    own = groups.join(twice, groups.doc_id.eqNullSafe(twice.doc_id), "left_semi").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = own.select("doc_id", "fingerprint").distinct()
+    marked = docs.join(twice, docs.doc_id.eqNullSafe(twice.doc_id), "left_semi")
+    prints = marked.select("doc_id", "text").distinct()
+    printed = prints.mapInArrow(partial(_printed, shingle=shingle), "doc_id long, text string, fp long")
+    printed = printed.select("doc_id", "text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    chosen = printed.join(own, ["doc_id", "fingerprint"], "left_semi") if twice.where("doc_id IS NULL").isEmpty() else printed.join(own.withColumnsRenamed({"doc_id": "i", "fingerprint": "f"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f")), "left_semi")
+    firsts = chosen.groupBy("doc_id", "fingerprint").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
+    back = marked.join(firsts, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("text").eqNullSafe(F.col("t")), "left_semi")
+    return rest.unionByName(back.dropDuplicates(["doc_id", "text"]))
+
+
+def _printed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        yield pa.record_batch({"doc_id": batch.column(0), "text": batch.column(1), "fp": pa.array([fingerprint(t or b"", shingle) for t in texts], pa.int64())})
