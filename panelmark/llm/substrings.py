@@ -31,7 +31,7 @@ from panelmark.llm.common import partitions, saved, text_of
 LEAST = 100
 GRAM = 32
 #: Bytes hashed at once; suffixes sorted at once (more if one anchor has more); occurrences of a very frequent anchor.
-BLOCK, SUFFIXES, FREQUENT = 1 << 21, 150_000, 20_000
+BLOCK, SUFFIXES, FREQUENT = 1 << 19, 150_000, 20_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]  # any odd numbers
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -59,8 +59,10 @@ def anchored_runs(text: np.ndarray, ends: np.ndarray, least: int = LEAST, gram:
     if wide > span:
         key = np.minimum(key[: span - wide], key[wide - span :])
     at = (key & _LOW).astype(np.int64)
-    start = np.arange(len(at))
-    start = start[start + least <= ends[np.searchsorted(ends, start, side="right")]]
+    inside = np.ones(n + least, bool)
+    for e in ends.tolist():
+        inside[max(0, e - least + 1) : e] = False  # strings that would begin here cross the end
+    start = np.flatnonzero(inside[: len(at)])
     if not len(start):
         return np.zeros(0, np.uint64), start, start
     at = at[start]
@@ -90,7 +92,8 @@ def _count_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
     held: list[np.ndarray] = []
 
     def out() -> pa.RecordBatch:
-        rows = np.sort(np.concatenate(held), order=("h", "part"))
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["part"], rows["h"]))]
         held.clear()
         first = np.flatnonzero(np.r_[True, (rows["h"][1:] != rows["h"][:-1]) | (rows["part"][1:] != rows["part"][:-1])])
         n = np.add.reduceat(rows["n"], first)
@@ -251,31 +254,34 @@ def _resolve(rows: pa.Table) -> pa.Table:
     part, place, start = (rows.column(k).to_pylist() for k in ("part", "place", "start"))
     cuts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1], True]).tolist()
     out: list[tuple[int, int, int, int]] = []
+    held: list[int] = []  # runs of several anchors, sorted together; strings of different anchors are never equal
+    size = 0
 
-    def solve(a: int, b: int) -> None:
+    def solve() -> None:
         stops: dict[int, list[tuple[int, int]]] = {}
-        for length, _, gone in maximal_repeats(runs[a:b]):
+        for length, _, gone in maximal_repeats([runs[i] for i in held]):
             for run, s in gone:
-                stops.setdefault(run, []).append((s, s + length))
-        for run, spans in stops.items():
-            for x, y in union(spans):
-                out.append((part[a + run], place[a + run], start[a + run] + x, start[a + run] + y))
+                stops.setdefault(held[run], []).append((s, s + length))
+        for i, spans in stops.items():
+            out.extend((part[i], place[i], start[i] + x, start[i] + y) for x, y in union(spans))
 
-    # several anchors at a time; strings of different anchors are never equal
-    held, size = None, 0
     for a, b in zip(cuts, cuts[1:]):
-        if b - a == 1:
-            if held is not None:
-                solve(held, a)
-                held, size = None, 0
-            continue
-        held = a if held is None else held
-        size += sum(len(r) - LEAST + 1 for r in runs[a:b])
+        distinct: set[bytes] = set()
+        own = []
+        for i in range(a, b):
+            if runs[i] in distinct:  # a whole run from an earlier place
+                out.append((part[i], place[i], start[i], start[i] + len(runs[i])))
+            else:
+                distinct.add(runs[i])
+                own.append(i)
+        if len(own) > 1:
+            held += own
+            size += sum(len(runs[i]) - LEAST + 1 for i in own)
         if size > SUFFIXES:
-            solve(held, b)
-            held, size = None, 0
-    if held is not None:
-        solve(held, len(runs))
+            solve()
+            held, size = [], 0
+    if held:
+        solve()
     return pa.table([pa.array(c, pa.int32()) for c in (zip(*out) if out else [[]] * 4)], names=["part", "place", "start", "stop"])
 
 
