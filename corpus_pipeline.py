@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmark.llm import exact, mixing, pieces, quality, simhash
-from panelmark.llm.common import saved, table
+from panelmark.llm.common import saved, table, text_of
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of this stage's own documents."""
     ranking = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, ranking).where("predicted = 1").select(*docs.columns)
+    return docs.where(ranking.score(text_of()) >= quality.REJECT_BELOW)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

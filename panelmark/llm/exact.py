@@ -120,15 +120,21 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
-    """docs without the rows whose keys are in gone. keys: gone's columns by expressions over docs."""
+def _matching(docs: DataFrame, keyed: DataFrame, keys: dict, how: str) -> DataFrame:
     named = docs.withColumns({f"__{k}": e for k, e in keys.items()})
-    there = gone.select(*[F.col(k).alias(f"__gone_{k}") for k in keys])
-    same = None
-    for k in keys:
-        one = F.col(f"__{k}").eqNullSafe(F.col(f"__gone_{k}"))
-        same = one if same is None else same & one
-    return named.join(checked(there, BROADCAST_ROWS), same, "left_anti").select(*docs.columns)
+    there = keyed.select(*[F.col(k).alias(f"__right_{k}") for k in keys])
+    same = [F.col(f"__{k}").eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return named.join(checked(there, BROADCAST_ROWS), same, how).select(*docs.columns)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, keys: dict) -> DataFrame:
+    """docs without the rows whose keys are in gone. keys: gone's columns by expressions over docs; nulls are equal."""
+    return _matching(docs, gone, keys, "left_anti")
+
+
+def with_rows(docs: DataFrame, there: DataFrame, keys: dict) -> DataFrame:
+    """The rows of docs whose keys are in there."""
+    return _matching(docs, there, keys, "left_semi")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -137,10 +143,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     own = {"doc_id": F.col("doc_id"), "text_sha256": F.sha2(no_space(text_of()), 256), "n_chars": F.length(text_of()).cast("long")}
     keys = list(own)
     gone = groups.where(~F.col("kept")).select(*keys).distinct()
-    twice = saved(gone.join(groups.where("kept").select(*keys).withColumn("one", F.lit(1)), [gone[k].eqNullSafe(groups[k]) for k in keys], "left_semi"))
+    twice = saved(gone.intersect(groups.where("kept").select(*keys)))  # rows that are dropped and kept: repeated ones
     rest = without_rows(docs, saved(gone), own)
     if twice.isEmpty():
         return rest
-    marked = docs.withColumns({f"__{k}": e for k, e in own.items()})
-    back = marked.join(twice, [marked[f"__{k}"].eqNullSafe(twice[k]) for k in keys], "left_semi").dropDuplicates([f"__{k}" for k in keys])
+    back = with_rows(docs.withColumn("__sha", own["text_sha256"]), twice, own).dropDuplicates(["doc_id", "__sha"])
     return rest.unionByName(back.select(*docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from panelmark.llm.common import partitions, saved
 from panelmark.llm.components import components
-from panelmark.llm.exact import without_rows
+from panelmark.llm.exact import with_rows, without_rows
 
 SHINGLE = 3
 RADIUS = 3
@@ -203,17 +203,14 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     rest = without_rows(docs, saved(gone.union(twice).distinct()), {"doc_id": F.col("doc_id")})
     if twice.isEmpty():
         return rest
-    # repeated ids: the row is chosen among all with the id that leads its group
-    own = groups.join(twice, groups.doc_id.eqNullSafe(twice.doc_id), "left_semi").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    own = own.select("doc_id", "fingerprint").distinct()
-    marked = docs.join(twice, docs.doc_id.eqNullSafe(twice.doc_id), "left_semi")
-    prints = marked.select("doc_id", "text").distinct()
-    printed = prints.mapInArrow(partial(_printed, shingle=shingle), "doc_id long, text string, fp long")
-    printed = printed.select("doc_id", "text", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
-    chosen = printed.join(own, ["doc_id", "fingerprint"], "left_semi") if twice.where("doc_id IS NULL").isEmpty() else printed.join(own.withColumnsRenamed({"doc_id": "i", "fingerprint": "f"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("fingerprint") == F.col("f")), "left_semi")
-    firsts = chosen.groupBy("doc_id", "fingerprint").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("i"), F.col("text").alias("t"))
-    back = marked.join(firsts, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("text").eqNullSafe(F.col("t")), "left_semi")
-    return rest.unionByName(back.dropDuplicates(["doc_id", "text"]))
+    # repeated ids: the row is chosen among all with the id, if the id leads a group; equal rows are one
+    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
+    prints = with_rows(docs, twice, {"doc_id": F.col("doc_id")}).select("doc_id", "text").distinct().mapInArrow(partial(_printed, shingle=shingle), "doc_id long, text string, fp long")
+    prints = prints.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    chosen = with_rows(prints, saved(leads), {"doc_id": F.col("doc_id"), "fingerprint": F.col("fingerprint")})
+    firsts = saved(chosen.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    back = with_rows(docs.withColumn("__text", F.coalesce("text", F.lit(""))), firsts, {"doc_id": F.col("doc_id"), "text": F.col("__text")})
+    return rest.unionByName(back.dropDuplicates(["doc_id", "__text"]).select(*docs.columns))
 
 
 def _printed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
