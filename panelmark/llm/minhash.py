@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import SPACE, saved, text_of
+from panelmark.llm.common import SPACE, text_of
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -96,21 +96,22 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, slices: int) -> DataFrame:
     """docs (doc_id, text, sketch) with next_text and next_sketch, of the next document in descending doc_id; after the last the first.
 
-    Ids are cut into slices at their quantiles; only the last row of each slice looks into another one.
+    Ids are cut into slices at their quantiles, a window looks ahead in each. The first row of a slice is also a guest at
+    the end of the slice before it (the last slice's is the first one's), so that texts are dealt once.
     """
     cuts = docs.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)], 10_000).alias("c")).first().c if slices > 1 else None
     slice_ = F.when(F.col("doc_id").isNull(), -1).otherwise(sum(((F.col("doc_id") >= c).cast("int") for c in sorted(set(cuts or []))), F.lit(0)))
     sliced = docs.withColumn("slice", slice_)
-    order = Window.partitionBy("slice").orderBy(F.desc_nulls_last("doc_id"), "text")
-    sliced = sliced.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order), "place": F.row_number().over(order)})
-    sliced = saved(sliced)
-    heads = sliced.where("place = 1").select("slice", F.struct("text", "sketch").alias("head"))
-    ids = [r.slice for r in heads.select("slice").orderBy(F.desc("slice")).collect()]  # at most slices + 1
-    follows = sliced.sparkSession.createDataFrame(list(zip(ids, ids[1:] + ids[:1])), "slice int, follower int")
-    after = heads.withColumnRenamed("slice", "follower").join(F.broadcast(follows), "follower").select("slice", "head")
-    ends, inner = sliced.where("next_text IS NULL"), sliced.where("next_text IS NOT NULL")
-    cols = ["doc_id", "text", "sketch", "next_text", "next_sketch"]
-    return inner.select(*cols).union(ends.join(after, "slice").select("doc_id", "text", "sketch", "head.text", "head.sketch"))
+    heads = sorted((r.slice, r.top) for r in sliced.groupBy("slice").agg(F.max("doc_id").alias("top")).collect())[::-1]  # at most slices + 1
+    if not heads:
+        return docs.withColumns({"next_text": F.lit(""), "next_sketch": F.col("sketch")})
+    at_head = F.col("doc_id").isNull() | F.col("doc_id").isin([top for _, top in heads])
+    before = F.create_map(*[F.lit(x) for (s, _), (host, _) in zip(heads, heads[-1:] + heads[:-1]) for x in (s, host)])
+    guests = sliced.where(at_head).groupBy("slice").agg(F.min(F.struct((-F.col("doc_id")).alias("minus"), "text", "sketch")).alias("g"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "g.text", "g.sketch", before[F.col("slice")].alias("slice"), F.lit(1).alias("guest"))
+    order = Window.partitionBy("slice").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
+    both = sliced.withColumn("guest", F.lit(0)).unionByName(guests)
+    return both.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)}).where("guest = 0").drop("guest", "slice")
 
 
 def edited_fingerprints(docs: DataFrame, slices: int) -> DataFrame:
