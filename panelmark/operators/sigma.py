@@ -71,7 +71,7 @@ def summary(marks: DataFrame, keys: Sequence[str] = ("judge_id",)) -> DataFrame:
 
 def ranked(summaries: DataFrame, least: int = 0, by: str = "marking_score", tie: str = "judge_id") -> DataFrame:
     """Those with enough marks, ranked 1..n from the lowest score; the rows are judges, few enough to be sorted by one task."""
-    return summaries.where(F.col("n_marks") >= least).withColumn("rank", F.row_number().over(Window.orderBy(by, tie)))
+    return summaries.where(F.col("n_marks") >= least).withColumn("rank", F.row_number().over(Window.orderBy(by, tie)).cast("long"))
 
 
 def tiers(rankings: DataFrame) -> DataFrame:
