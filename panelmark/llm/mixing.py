@@ -138,12 +138,12 @@ def repeated(docs: DataFrame, taken: DataFrame) -> DataFrame:
 
     Of rows with equal doc_id and size the takes are dealt to any of them.
     """
-    times = taken.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"))).alias("times"))
+    times = taken.groupBy("doc_id", "size").agg(F.sort_array(F.collect_list(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"))).alias("__times"))
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
     place = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy(F.lit(1)))
     numbered = docs.withColumn("__size", size).withColumn("__place", place)
-    joined = numbered.join(times.select(F.col("doc_id").alias("__id"), F.col("size").alias("__of"), "times"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")))
-    return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(1), F.get("times", F.col("__place") - 1)))).select(*docs.columns)
+    joined = numbered.join(times.select(F.col("doc_id").alias("__id"), F.col("size").alias("__of"), "__times"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")))
+    return joined.withColumn("__time", F.explode(F.array_repeat(F.lit(1), F.get("__times", F.col("__place") - 1)))).select(*docs.columns)
 
 
 def audit(rows: Iterable[tuple[str | None, int, int, float]]) -> dict:
