@@ -1,7 +1,5 @@
 """Identities: components of links, canonical ids, name keys and fuzzy matches."""
 
-from __future__ import annotations
-
 import os
 import tempfile
 import unicodedata
