@@ -1,7 +1,5 @@
 """W5: eligibility by rules held as data. Rules join appointments and counts; nothing is evaluated row by row."""
 
-from __future__ import annotations
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
