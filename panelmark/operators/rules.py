@@ -2,6 +2,7 @@
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,10 +81,15 @@ def coverable(pools: Sequence[Sequence[int]]) -> bool:
     return all(place(i, set()) for i in range(len(pools)))
 
 
-@F.udf(T.BooleanType())
-def distinct_cover(pools: list[list[int]]) -> bool:
-    """coverable() over an array of arrays; rows are official-and-rule pairs with a few competitions each."""
-    return None if pools is None else coverable([p or [] for p in pools])
+def coverable_counts(needs: Sequence[tuple[int, Sequence[int]]]) -> bool:
+    """Whether each need (how many, of which competitions) can have competitions that no other need has."""
+    return coverable([pool for least, pool in needs for _ in range(least)])
+
+
+@F.pandas_udf(T.BooleanType())
+def distinct_cover(pools: pd.Series) -> pd.Series:
+    """coverable() of arrays of arrays; a row is an official and a rule, with a few competitions each. Null stays null."""
+    return pools.map(lambda own: None if own is None else coverable([[] if p is None else list(p) for p in own]))
 
 
 def in_window(season: Column, last: int, window: Column) -> Column:

@@ -122,6 +122,7 @@ def test_activity(spark):
 
 def test_rules_and_cover(spark):
     assert rules.coverable([[1, 2], [1], [2, 3]]) and not rules.coverable([[1], [1]]) and rules.coverable([])
+    assert rules.coverable_counts([(2, [1, 2, 3]), (1, [3])]) and not rules.coverable_counts([(2, [1, 3]), (1, [3])])
     df = spark.createDataFrame([([[1], [1, 2]],), ([[1], [1]],), (None,)], "p array<array<int>>")
     assert [r[0] for r in df.select(rules.distinct_cover("p")).collect()] == [True, False, None]
     own = rules.parsed(spark.createDataFrame([(1, "maintain", 1, "competitions", 2, 2, '{"scope": "a"}'), (1, "maintain", 1, "years_in_grade", 3, 0, "{}")], rules.RULE))
