@@ -49,10 +49,11 @@ def features(text: Column) -> dict[str, Column]:
         "length": F.log1p(n),
         "word_length": F.log1p(n / F.greatest(n_words, F.lit(1))),
         "distinct_words": F.size(F.array_distinct(words)) / F.greatest(F.sqrt(F.size(words).cast("double")), F.lit(1.0)),
+        "repeats": share("(?<!\\S)(\\S++)(?:\\s+\\1(?!\\S))+"),
         "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
         "line_length": F.log1p(n / F.size(lines)),
     }
-    bent = {f"{k}_root": F.sqrt(own[k]) for k in ("upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii")}
+    bent = {f"{k}_root": F.sqrt(own[k]) for k in ("upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii", "repeats")}
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in {**own, **bent}.items()}
 
 
