@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +130,7 @@ def _cut(batches: Iterator[pa.RecordBatch], joints: set[str]) -> Iterator[pa.Rec
     chunk, words, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, _Numbers(), 0
 
     def vocabulary() -> pa.RecordBatch:
-        stretches, lengths, inner = _Numbers(), [], []
+        stretches, lengths, inner = _Numbers(), array("I"), array("I")
         for w in words:
             text, at, n = w.decode().replace(" ", SPACE), 0, 0
             for i in range(1, len(text)):
@@ -137,7 +139,7 @@ def _cut(batches: Iterator[pa.RecordBatch], joints: set[str]) -> Iterator[pa.Rec
                     at, n = i, n + 1
             inner.append(stretches[text[at:]])
             lengths.append(n + 1)
-        return pa.record_batch([[chunk], [None], [None], [np.array(lengths, np.uint32).tobytes()], [np.array(inner, np.uint32).tobytes()], [list(stretches)]], schema=schema)
+        return pa.record_batch([[chunk], [None], [None], [lengths.tobytes()], [inner.tobytes()], pa.array([list(stretches)], pa.list_(pa.string()))], schema=schema)
 
     for batch in batches:
         ids = []
@@ -168,20 +170,28 @@ def lattice(stretches: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def viterbi(edges: Column) -> Column:
-    """Folds an array of (end, start, id, score) to the ids of the best path. Each end from 1 on has an edge of length 1."""
-    empty = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("back"), F.array(F.lit(0)).alias("id"))
+    """Folds an array of (end, start, id, score) to the ids of the best path. Each end from 1 on has an edge of length 1.
+
+    The state has for every place the best score and the edge it comes from, start and id in one long.
+    """
+    empty = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0).cast("long")).alias("link"))
 
     def step(a: Column, e: Column) -> Column:
         total = F.get(a.best, e.start) + e.score
         last = F.size(a.best) - 1
+        link = F.shiftleft(e.start.cast("long"), 32).bitwiseOR(e.id.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
         put = lambda x, v: F.concat(F.slice(x, 1, e.end), F.array(v))
-        new = F.struct(put(a.best, total).alias("best"), put(a.back, e.start).alias("back"), put(a.id, e.id).alias("id"))
-        return F.when((e.end > last) | (total > F.get(a.best, last)), new).otherwise(a)
+        return F.when((e.end > last) | (total > F.get(a.best, last)), F.struct(put(a.best, total).alias("best"), put(a.link, link).alias("link"))).otherwise(a)
 
     def walk(a: Column) -> Column:
-        start = F.struct((F.size(a.best) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
-        back = lambda s, _: F.when(s.at > 0, F.struct(F.get(a.back, s.at).alias("at"), F.concat(F.array(F.get(a.id, s.at)), s.ids).alias("ids"))).otherwise(s)
-        return F.aggregate(a.best, start, back, lambda s: s.ids)
+        start = F.struct((F.size(a.link) - 1).alias("at"), F.array().cast("array<int>").alias("ids"))
+
+        def back(s: Column, _: Column) -> Column:
+            link = F.get(a.link, s.at)
+            low = F.shiftright(F.shiftleft(link, 32), 32).cast("int")  # with its sign
+            return F.when(s.at > 0, F.struct(F.shiftrightunsigned(link, 32).cast("int").alias("at"), F.concat(F.array(low), s.ids).alias("ids"))).otherwise(s)
+
+        return F.aggregate(a.link, start, back, lambda s: s.ids)
 
     return F.aggregate(F.array_sort(edges), empty, step, walk)
 
@@ -193,33 +203,48 @@ def encoded_stretches(stretches: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.select("stretch", viterbi(F.col("edges")).alias("ids"))
 
 
+def _spelt(flat: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """flat ids, `sizes` of them a stretch, with characters without a piece as byte pieces."""
+    codes, which = np.unique(flat[flat < 0], return_inverse=True)
+    if not len(codes):
+        return flat, sizes
+    spelt = [pieces.spelt([int(c)]) for c in codes]
+    widths = np.array([len(x) for x in spelt])
+    each = np.ones(len(flat), np.int64)
+    each[flat < 0] = widths[which]
+    out, begin = np.repeat(flat, each), np.cumsum(each) - each
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    own = np.flatnonzero(flat < 0)
+    for k, x in enumerate(spelt):
+        at = begin[own[which == k]]
+        for j, v in enumerate(x):
+            out[at + j] = v
+    return out, np.bincount(owner, each, len(sizes)).astype(np.int64)
+
+
 def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
     """The ids of a chunk's documents."""
-    rows = docs.filter(pa.compute.is_valid(docs.column("ids")))
-    head = docs.filter(pa.compute.is_valid(docs.column("stretches")))
-    ids_of: list[list[int]] = []
+    rows = docs.filter(pc.is_valid(docs.column("ids")))
+    head = docs.filter(pc.is_valid(docs.column("stretches")))
     if head.num_rows:
-        stretches = head.column("stretches")[0].as_py()
-        ids_of = [[]] * len(stretches)
-        for k, ids in zip(found.column("number").to_pylist(), found.column("ids").to_pylist()):
-            ids_of[k] = pieces.spelt(ids)
-        for k, s in enumerate(stretches):
-            if len(s) > LONG:
-                ids_of[k] = pieces.spelt(pieces.viterbi(s))
-        inner = np.frombuffer(head.column("inner")[0].as_py(), np.uint32).astype(np.int64)
+        stretches = head.column("stretches").combine_chunks().values
+        found = found.combine_chunks()
+        number, lists = found.column("number").to_numpy(), found.column("ids").combine_chunks()
+        flat, own = lists.flatten().to_numpy().astype(np.int32), pc.list_value_length(lists).to_numpy()
+        long = np.flatnonzero(pc.utf8_length(stretches).to_numpy() > LONG)
+        more = [np.array(pieces.viterbi(stretches[int(k)].as_py()), np.int32) for k in long]
+        flat, own = np.concatenate([flat, *more]), np.concatenate([own, [len(m) for m in more]]).astype(np.int64)
+        flat, own = _spelt(flat, own, pieces)
+        place = np.empty(len(stretches), np.int64)
+        place[np.concatenate([number, long]).astype(np.int64)] = np.arange(len(own))
+        inner = place[np.frombuffer(head.column("inner")[0].as_py(), np.uint32)]
         lengths = np.frombuffer(head.column("lengths")[0].as_py(), np.uint32).astype(np.int64)
-        size = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
-        flat = np.fromiter((i for x in ids_of for i in x), np.int32, int(size.sum()))
-        words = _ranges(flat, np.cumsum(size) - size, size, inner)
-        per_word = np.add.reduceat(size[inner], np.cumsum(lengths) - lengths)
+        words = _ranges(flat, np.cumsum(own) - own, own, inner)
+        per_word = np.add.reduceat(own[inner], np.cumsum(lengths) - lengths)
         begins = np.cumsum(per_word) - per_word
-    out, lens = [], []
-    for b in rows.column("ids").to_pylist():
-        own = _unpacked(b)
-        out.append(_ranges(words, begins, per_word, own) if len(own) else np.zeros(0, np.int32))
-        lens.append(len(out[-1]))
+    out = [_ranges(words, begins, per_word, _unpacked(b)) if len(b) > 8 else np.zeros(0, np.int32) for b in rows.column("ids").to_pylist()]
     values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-    offsets = pa.array(np.cumsum([0, *lens]), pa.int32())
+    offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
     return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values)})
 
 
