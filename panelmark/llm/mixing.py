@@ -29,7 +29,7 @@ RANKED = 256
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
