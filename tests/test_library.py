@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmark.functions import classify, predicates, scoring, seasons, stats
+from panelmark.functions import classify, elements, predicates, scoring, seasons, stats
 from panelmark.operators import activity, identity, profiles, rates, rules, sigma, sinks
 from panelmark.sources import protocols
 from panelmark.streaming import ingest
@@ -208,3 +208,19 @@ def test_rates_edge_cases(spark):
     assert rates.heatmap(own, "rule_errors").count() == 0 and rates.heatmap(own, "anomaly_rate").first().value == 0.0
     assert rates.consistency(rates.yearly(marks)).first().trend == "insufficient_data"
     assert rates.five_measures(marks.limit(0), ["judge_id"]).count() == 0
+
+
+def test_element_categories(spark):
+    codes = {
+        "CCoSp3": "Spin", "CoSp3p4": "Spin", "FCSp4V": "Spin", "FSSp3V1": "Spin", "StSq4": "Step Sequence", "3Lz<<": "Jump", "2A": "Jump", "ChSq1": "ChSq", "5TLi4": "Lift", "3Tw2": "Twist", "BiDs3": "Death Spiral",
+        "PCoSp4": "Pairs Spin", "2LoTh": "Throw Jump", "PB3": "Pivoting Block", "Cr1": "Creative", "SyTwL+SyTwM3": "Twizzle", "StSq3+kp": "Step Sequence", "1A+fm": "Moves Element", "I4+pi2": "Intersection", "NHE2": "No Hold Element", "xyz": "xyz", "": "",
+    }
+    assert rows_of(spark, elements.category, list(codes), "string") == list(codes.values())
+    assert rows_of(spark, elements.category, [None], "string") == [""]
+
+
+def test_form_cells(spark):
+    cells = ["Yes", "TRUE", "1.0", "no", None, "", "I am NOT interested in officiating all qualifying events", "I would like to opt out", "maybe"]
+    assert rows_of(spark, elements.opts_out, cells, "string") == [True, True, True, False, False, False, True, True, False]
+    lookup = {"eastern": "East", "upper great lakes": "Midwest", "great lakes": "Midwest B"}
+    assert rows_of(spark, lambda x: elements.section(x, lookup), ["Eastern Section", "the Upper  Great Lakes area", " ", None, "moon"], "string") == ["East", "Midwest", "(Unspecified)", "(Unspecified)", "(Other)"]
