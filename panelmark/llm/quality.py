@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import SPACE, WORD, in_fold, text_of
+from panelmark.llm.minhash import let
 
 #: At most so many labelled documents are learnt from, and so many preference pairs drawn.
 SAMPLE_ROWS, PAIRS = 20_000, 200_000
@@ -30,7 +31,6 @@ RIDGE = 1e-3
 def features(text: Column) -> dict[str, Column]:
     """Doubles, defined for empty texts too. text: without nulls."""
     n = F.length(text)
-    words = F.split(text, f"[{SPACE}]+")
     lines = F.split(text, "\n")
     n_words = F.regexp_count(text, F.lit(WORD))
 
@@ -48,13 +48,16 @@ def features(text: Column) -> dict[str, Column]:
         "space": share(f"[{SPACE}]+"),
         "length": F.log1p(n),
         "word_length": F.log1p(n / F.greatest(n_words, F.lit(1))),
-        "distinct_words": F.size(F.array_distinct(words)) / F.greatest(F.sqrt(F.size(words).cast("double")), F.lit(1.0)),
+        "distinct_words": let(F.split(text, f"[{SPACE}]+"), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.sqrt(F.size(w).cast("double")), F.lit(1.0))),
         "repeats": share("(?<!\\S)(\\S++)(?:\\s+\\1(?!\\S))+"),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
+        "distinct_lines": let(lines, lambda x: F.size(F.array_distinct(x)) / F.size(x)),
         "line_length": F.log1p(n / F.size(lines)),
     }
-    bent = {f"{k}_root": F.sqrt(own[k]) for k in ("upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii", "repeats")}
-    return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in {**own, **bent}.items()}
+    return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in own.items()}
+
+
+#: Features whose square roots are features too.
+BENT = ("upper", "digits", "marks", "symbols", "bars", "stops", "beyond_ascii", "repeats")
 
 
 @dataclass(frozen=True)
@@ -67,10 +70,16 @@ class Ranking:
     slope: float
 
     def score(self, text: Column) -> Column:
-        strength = F.lit(0.0)
-        f = features(text)
-        for k, w in zip(self.names, self.weights):
-            strength = strength + F.lit(w) * f[k]
+        weight = dict(zip(self.names, self.weights))
+
+        def sum_(f: Column) -> Column:
+            out = F.lit(0.0)
+            for k in self.names:
+                out = out + F.lit(weight[k]) * (F.sqrt(f[k.removesuffix("_root")]) if k.endswith("_root") else f[k])
+            return out
+
+        # a filter would work the features out again wherever they are written: they are put into one struct first
+        strength = let(F.struct(*[e.alias(k) for k, e in features(text).items()]), sum_) if self.names else F.lit(0.0)
         base = float(np.log(REJECT_BELOW / (1 - REJECT_BELOW))) if self.names else 0.0
         z = F.greatest(F.least(F.lit(self.slope) * (strength - F.lit(self.threshold)) + F.lit(base), F.lit(35.0)), F.lit(-35.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -112,8 +121,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     f = features(text_of())
     rows = docs.join(F.broadcast(own), "doc_id").select("y", *[e.alias(k) for k, e in f.items()]).toPandas()  # own has at most sample_rows rows
-    rows = rows.sort_values(list(rows.columns)).to_numpy()[: 2 * sample_rows]
-    y, x = rows[:, 0], rows[:, 1:]
+    rows = rows.sort_values(list(rows.columns))[: 2 * sample_rows]
+    rows = rows.assign(**{f"{k}_root": np.sqrt(rows[k]) for k in BENT})
+    names = [k for k in rows.columns if k != "y"]
+    y, x = rows["y"].to_numpy(float), rows[names].to_numpy(float)
     if not 0 < y.sum() < len(y):
         return Ranking((), (), 0.0, 1.0)
     scale = x.std(axis=0)
@@ -124,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     threshold = float(np.quantile(strength, 1 - y.mean()))
     spread = strength.std() or 1.0
     slope = slope_of((strength - threshold) / spread, y, float(np.log(REJECT_BELOW / (1 - REJECT_BELOW)))) / spread
-    return Ranking(tuple(f), tuple(map(float, w / scale)), threshold, slope)
+    return Ranking(tuple(names), tuple(map(float, w / scale)), threshold, slope)
 
 
 def scored(docs: DataFrame, ranking: Ranking) -> DataFrame:
