@@ -37,7 +37,7 @@ from panelmark.llm.common import saved, text_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNK, LONG = 1 << 26, 512
+CHUNK, LONG = 1 << 24, 512
 
 
 @dataclass(frozen=True)
