@@ -99,15 +99,17 @@ def scanned(docs: DataFrame, pairs: Sequence[tuple[str, str]] = TEMPLATES) -> Da
     classes: dict[tuple[int, int, int], list] = {}
     for t in known:
         classes.setdefault(window_of(len(t.hashes)), []).append(t)
-    bands = max(b for _, _, b in classes)
-    own = own.withColumn("mixed", F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda k: F.transform("hashes", lambda h: F.xxhash64(h, k))))
+    def values(width: int, step: int):
+        """A band's value of each window; one band's hashes are held at a time."""
+        starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(step))
+        return lambda k: let(F.transform("hashes", lambda h: F.xxhash64(h, k)), lambda m: F.transform(starts, lambda at: F.array_min(F.slice(m, at + 1, width))))
+
     sides = []
     for width, step, n in sorted(classes):
-        starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(step))
-        windows = own.select("row", "mixed", F.explode(starts).alias("start"))
-        value = lambda k, w=width: F.array_min(F.slice(F.get("mixed", k - 1), F.col("start") + 1, w))
-        sides.append(windows.select("row", F.lit(width).alias("width"), "start", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(k.alias("band"), value(k).alias("value")))).alias("b")))
-    windows = reduce(DataFrame.union, sides).select("row", "width", "start", "b.band", "b.value")
+        banded = own.select("row", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(n)), values(width, step))).alias("k", "values"))
+        placed = banded.select("row", (F.col("k") + 1).alias("band"), F.posexplode("values").alias("place", "value"))
+        sides.append(placed.select("row", F.lit(width).alias("width"), (F.col("place") * step).alias("start"), "band", "value"))
+    windows = reduce(DataFrame.union, sides)
     rows = [(t.template, width, k, h) for (width, _, n), own_ in classes.items() for t in own_ for k in range(1, n + 1) for h in t.hashes]
     index = spark.createDataFrame(rows, "template int, width int, band int, hash long")
     index = index.groupBy("template", "width", "band").agg(F.min(F.xxhash64("hash", "band")).alias("value"))
