@@ -180,35 +180,42 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sorted_.mapInArrow(partial(_search, radius=radius), "a long, b long")
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id, its smallest doc_id."""
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """One row per row of docs: doc_id, fp, root, a number of its group, and component_id, the group's smallest doc_id."""
     prints = saved(fingerprints(docs, shingle))
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = saved(components(links(distinct.select("fp"), radius)))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = rooted.join(of_root, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = rooted.join(of_root, "root").select("fp", "root", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id, its smallest doc_id."""
+    return _grouped(docs, shingle, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of each group, the one with the smallest doc_id (null last), with all columns of docs.
 
-    Rows with an equal doc_id and an equal fingerprint are one another's copies; one of them stays.
+    Of several rows with that id the one with the least fingerprint, and of these with the least text, stays. One id
+    can lead several groups, and a null id leads all groups of null ids only; each of them keeps its row.
     """
-    groups = saved(near_groups(docs, shingle, radius))
+    groups = saved(_grouped(docs, shingle, radius))
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
     twice = saved(twice)
     rest = without_rows(docs, saved(gone.union(twice).distinct()), {"doc_id": F.col("doc_id")})
     if twice.isEmpty():
         return rest
-    # repeated ids: the row is chosen among all with the id, if the id leads a group; equal rows are one
-    leads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fingerprint").distinct()
-    prints = with_rows(docs, twice, {"doc_id": F.col("doc_id")}).select("doc_id", "text").distinct().mapInArrow(partial(_printed, shingle=shingle), "doc_id long, text string, fp long")
-    prints = prints.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    chosen = with_rows(prints, saved(leads), {"doc_id": F.col("doc_id"), "fingerprint": F.col("fingerprint")})
-    firsts = saved(chosen.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    # repeated ids: the row is chosen among all with the id, for each group that the id leads; equal rows are one
+    own = {"doc_id": F.col("doc_id")}
+    leads = with_rows(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), twice, own)
+    leads = leads.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
+    prints = with_rows(docs, twice, own).select("doc_id", "text").distinct().mapInArrow(partial(_printed, shingle=shingle), "doc_id long, text string, fp long")
+    chosen = with_rows(prints, saved(leads), {"doc_id": F.col("doc_id"), "fp": F.col("fp")})
+    firsts = saved(chosen.groupBy("doc_id", "fp").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
     back = with_rows(docs.withColumn("__text", F.coalesce("text", F.lit(""))), firsts, {"doc_id": F.col("doc_id"), "text": F.col("__text")})
     return rest.unionByName(back.dropDuplicates(["doc_id", "__text"]).select(*docs.columns))
 

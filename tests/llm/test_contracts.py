@@ -112,6 +112,23 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_simhash_keeps_a_row_of_each_group_of_repeated_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d, e, f = (words(rng, 80) for _ in range(6))
+    long = words(rng, 1000).split()
+    edits = (" ".join([*long[:k], *["changed"] * 5, *long[k + 5 :]]) for k in range(0, 900, 5))
+    near = next(t for t in edits if 0 < (brute_print(t) ^ brute_print(" ".join(long))).bit_count() <= 3)
+    # four groups of null ids, one of them copies and one of near texts; id 7 leads two groups; null and 8 follow 1
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, " ".join(long)), (None, near), (7, d), (7, e), (1, f), (None, f), (8, f), (8, f), (9, ""), (9, None)]
+    prints = [brute_print(t) for _, t in rows]
+    root = linked_components(sorted(set(prints)), lambda x, y: (x ^ y).bit_count() <= 3)
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, other int").repartition(3)
+    left = simhash.deduplicated(docs)
+    got = left.collect()
+    assert left.columns == docs.columns and sorted(root[brute_print(r.text)] for r in got) == sorted(set(root.values()))
+    assert sorted(str(r.doc_id) for r in got) == sorted(["None"] * 4 + ["7", "7", "1", "9"])
+
+
 def test_bk_tree_links_and_blocks(spark):
     rng = random.Random(2)
     items = {rng.getrandbits(64) for _ in range(400)}
