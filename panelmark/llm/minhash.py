@@ -2,7 +2,8 @@
 
 The hashes of a document's word shingles are dealt once to BINS bins by their leading bits and each bin keeps
 its least. Empty bins are filled by optimal densification: a bin draws other bins by a fixed universal
-hash of its number and the attempt until one has a value. Of every bin BITS low-order bits are stored, packed as
+hash of its number and the attempt until one has a value; after DRAWS attempts it goes on through all bins in an order
+of its own, so that the draws end. Of every bin BITS low-order bits are stored, packed as
 hexadecimal digits. Likeness is the share of equal bins, corrected for equal low bits by chance.
 
 Built-in functions only. A null text counts as empty; empty texts have a fingerprint of their own, likeness 1 to each
@@ -21,7 +22,7 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BITS = 8
 SHINGLE = 5
-#: Draws of a bin before it takes the first bin that has a value.
+#: Independent draws of a bin; then it draws without repetition.
 DRAWS = 24
 LOW = (1 << (64 - BIN_BITS)) - 1
 
@@ -60,16 +61,20 @@ def densified(bins: Column) -> Column:
     """bins with the empty ones filled; all empty if they were."""
 
     def fill(b: Column) -> Column:
-        any_ = F.filter(b, lambda v: ~_empty(v))
+        def drawn(filled: Column) -> Column:
+            def draw(i: Column) -> Column:
+                def step(acc: Column, t: Column) -> Column:
+                    there = F.get(b, F.xxhash64(i, t).bitwiseAND(F.lit(BINS - 1)).cast("int"))
+                    return F.when(acc.isNotNull(), acc).when(~_empty(there), there)
 
-        def draw(i: Column) -> Column:
-            def step(acc: Column, t: Column) -> Column:
-                there = F.get(b, F.xxhash64(i, t).bitwiseAND(F.lit(BINS - 1)).cast("int"))
-                return F.when(acc.isNotNull(), acc).when(~_empty(there), there)
+                # a bin's order of all bins is by a hash too, of the bins' leading bits; the first one with a value has the least
+                rank = lambda v: F.xxhash64(i, F.shiftrightunsigned(v, 64 - BIN_BITS))
+                onward = F.aggregate(filled, F.get(filled, F.lit(0)), lambda acc, v: F.when(rank(v) < rank(acc), v).otherwise(acc))
+                return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(DRAWS)), F.lit(None).cast("long"), step), onward)
 
-            return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(DRAWS)), F.lit(None).cast("long"), step), F.get(any_, F.lit(0)))
+            return F.transform(b, lambda v, i: F.when(_empty(v), draw(i)).otherwise(v))
 
-        return F.when(F.exists(b, _empty) & F.exists(b, lambda v: ~_empty(v)), F.transform(b, lambda v, i: F.when(_empty(v), draw(i)).otherwise(v))).otherwise(b)
+        return F.when(F.exists(b, _empty) & F.exists(b, lambda v: ~_empty(v)), let(F.filter(b, lambda v: ~_empty(v)), drawn)).otherwise(b)
 
     return let(bins, fill)
 

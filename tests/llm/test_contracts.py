@@ -268,6 +268,15 @@ def test_fingerprints(docs, rows, empty):
     assert all(len(x) == 1 for t, x in by_text.items() if t) and minhash.edited_fingerprints(empty, 4).count() == 0
 
 
+def test_fingerprints_of_few_shingles(spark):
+    """The likeness of texts of 4 shingles, 3 of them common, is about 3 in 5 for each pair."""
+    pairs = [(" ".join(f"p{k}w{i}" for i in range(8)), " ".join(f"p{k}w{i}" for i in range(1, 9))) for k in range(60)]
+    both = spark.createDataFrame(pairs, "a string, b string").select(minhash.sketch(F.col("a")).alias("x"), minhash.sketch(F.col("b")).alias("y"))
+    got = both.select("x", minhash.likeness(F.col("x"), F.col("y")).alias("likeness")).collect()
+    assert abs(np.mean([r.likeness for r in got]) - 0.6) < 0.03 and np.std([r.likeness for r in got]) < 0.1
+    assert np.mean([max(Counter(r.x).values()) for r in got]) < 0.45 * minhash.BINS  # no shingle fills the most of the bins
+
+
 def brute_licenses(text, pairs):
     import regex
 
