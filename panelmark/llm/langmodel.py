@@ -1,11 +1,13 @@
 """LM scoring: a log-bilinear neural model in numpy, trained by noise-contrastive estimation.
 
-Words are scored as unit and word: P(w|h) = P(unit(w)|h) P(w|unit). The TOP most frequent words are units of their own,
-other words share units by shape. The log-bilinear model predicts a unit from the CONTEXT units before it: the
-contexts' vectors, each scaled by a vector for its place, add up to the predicted representation, whose products with
-the units' vectors plus biases are the scores. Training sees every learning token once, in ROUNDS shares: each task
-takes noise-contrastive steps from the round's parameters and the results are averaged by tokens. Scores are normalised by batched matrix
-products over all units. Within a shared unit words have their share of counts and unseen words the share of hapaxes.
+Words are scored as unit and word: P(w|h) = P(unit(w)|h) P(w|unit). Words that are learnt from at least least_count(N) times
+of N tokens are units of their own, other words share units by shape. The units of words are cut by frequency into about as
+many classes as a class has words: P(unit|h) = P(class|h) P(unit|class, h), each normalised; a shared unit is a class of
+its own. The log-bilinear model predicts both from the CONTEXT units before: the contexts' vectors, each scaled
+by a vector for its place, add up to the predicted representation, whose products with the classes' and the units' vectors plus
+biases are the scores. Training sees every learning token once, in ROUNDS shares: each task
+takes noise-contrastive steps from the round's parameters, for the class and for the word in it, and the results are averaged
+by tokens. Scores are normalised by batched matrix products over all classes and over all words of the class. Within a shared unit words have their share of counts and unseen words the share of hapaxes.
 
 Counting: each chunk numbers its own words, the chunks' counts are summed by word, and the sums go back to
 the chunks that have the word, so that neither texts nor word occurrences are shuffled.
@@ -18,9 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,9 @@ from pyspark.sql import functions as F
 from panelmark.llm.common import in_fold, saved, text_of
 
 FOLDS = 10
-TOP = 384
-CONTEXT, DIMENSIONS, NOISE = 2, 24, 24
+#: A word is a unit from N ** (2 / 3) / RARER learning occurrences on: the units grow with the cube root of N about.
+RARER = 100
+CONTEXT, DIMENSIONS, NOISE, NOISE_IN_CLASS = 2, 24, 24, 4
 ROUNDS, BATCH, RATE = 2, 1024, 0.3
 #: Tokens of which contexts are held at once.
 BLOCK = 1 << 19
@@ -92,12 +97,22 @@ def shape(word: bytes) -> int:
     return ((end * 3 + begin) * 4 + (0 if n <= 4 else 1 if n <= 8 else 2 if n <= 12 else 3)) * 2 + (not word.isascii())
 
 
+def least_count(n: int) -> int:
+    """Occurrences in n learning tokens from which a word is a unit; a word seen once stands for the unseen ones."""
+    return max(2, ceil(n ** (2 / 3) / RARER))
+
+
 def unit_of(words: list[bytes], top: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((top.get(w, TOP + shape(w)) for w in words), np.int64, len(words))
+    own = len(top)
+    return np.fromiter((i if (i := top.get(w)) is not None else own + shape(w) for w in words), np.int64, len(words))
+
+
+def unit_type(units: int) -> type:
+    return np.uint16 if units <= 1 << 16 else np.uint32
 
 
 def _unit_counts(batches: Iterator[pa.RecordBatch], top: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    units = TOP + SHAPES
+    units = len(top) + SHAPES
     total, once = np.zeros(units), np.zeros(units)
     for batch in batches:
         c = batch.column(1).to_numpy()
@@ -112,14 +127,14 @@ _SCORED = "chunk long, doc_id long, held_out boolean, n_tokens long, n_known lon
 
 def _look_up(docs: pa.Table, found: pa.Table, top: dict[bytes, int], total: np.ndarray, once: np.ndarray, n: int, v: int) -> pa.Table:
     """Counts and units of a chunk's words to its documents."""
-    texts = docs.filter(pa.compute.is_valid(docs.column("ids")))
+    texts = docs.filter(pc.is_valid(docs.column("ids")))
     words = [w for row in docs.column("words").to_pylist() if row for w in row]
     counts = np.zeros(len(words), np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     unit = unit_of(words, top)
     base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
     unseen = np.where(total > 0, (once + 0.5) / (total + 1.0), 1.0)
-    own = unit >= TOP
+    own = unit >= len(top)
     seen = np.where(own, (1 - unseen[unit]) * counts / np.maximum(total[unit], 1), 1.0)
     within = np.log10(np.where(counts > 0, np.maximum(seen, 1e-300), np.where(own, unseen[unit], 1.0)))
     ids = [np.frombuffer(b, np.uint32) for b in texts.column("ids").to_pylist()]
@@ -127,7 +142,7 @@ def _look_up(docs: pa.Table, found: pa.Table, top: dict[bytes, int], total: np.n
     flat = np.concatenate(ids) if k else np.zeros(0, np.uint32)
     starts = np.cumsum([0, *map(len, ids)])[:-1] if k else np.zeros(0, np.int64)
     sums = lambda x: np.add.reduceat(x[flat], starts) if k else np.zeros(0)
-    short = unit.astype(np.uint16)
+    short = unit.astype(unit_type(len(total)))
     return pa.table({
         "chunk": texts.column("chunk"), "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
         "n_known": pa.array(sums((counts > 0).astype(np.int64)), pa.int64()), "base_score": pa.array(sums(base), pa.float64()), "in_unit": pa.array(sums(within), pa.float64()),
@@ -135,20 +150,35 @@ def _look_up(docs: pa.Table, found: pa.Table, top: dict[bytes, int], total: np.n
     })
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _normalised(s: np.ndarray) -> np.ndarray:
+    s -= s.max(axis=1, keepdims=True)
+    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+
+
 class LogBilinear:
-    """Parameters over `units` units; one more context vector stands before the first token."""
+    """Parameters over `units` units, the first `words` of them in classes; one more context vector stands before the first token."""
 
-    def __init__(self, units: int, noise: np.ndarray, seed: int = 5):
+    def __init__(self, units: int, noise: np.ndarray, words: int = 0, seed: int = 5):
         rng = np.random.default_rng(seed)
+        self.words, self.width = words, isqrt(words - 1) + 1 if words else 1
+        self.classes = -(-words // self.width)
+        self.class_of = np.r_[np.arange(words) // self.width, self.classes + np.arange(units - words)]
+        self.noise, self.class_noise = noise, np.bincount(self.class_of, noise)
         self.r = rng.normal(0, 0.1, (units + 1, DIMENSIONS)).astype(np.float32)
-        self.q = rng.normal(0, 0.1, (units, DIMENSIONS)).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (len(self.class_noise), DIMENSIONS)).astype(np.float32)
         self.c = np.full((CONTEXT, DIMENSIONS), 0.5, np.float32)
-        self.noise = noise
-        self.b = np.log(noise).astype(np.float32)
+        self.b = np.log(self.class_noise).astype(np.float32)
+        self.q_in = rng.normal(0, 0.1, (words, DIMENSIONS)).astype(np.float32)
+        self.b_in = np.log(noise[:words] / self.class_noise[self.class_of[:words]]).astype(np.float32)
+        self.log_noise_in = self.b_in + np.float32(np.log(NOISE_IN_CLASS))
         self.past = [np.full(p.shape, 1e-3, np.float32) for p in self.parts()]  # sums of squared gradients
 
     def parts(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.c, self.b]
+        return [self.r, self.q, self.c, self.b, self.q_in, self.b_in]
 
     def to_bytes(self) -> bytes:
         return b"".join(p.astype("<f4").tobytes() for p in self.parts())
@@ -163,38 +193,67 @@ class LogBilinear:
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.r[contexts[:, j]] * self.c[j] for j in range(CONTEXT))
 
+    def of_classes(self, h: np.ndarray) -> np.ndarray:
+        """Natural logarithms, normalised: a row a representation, a column a class."""
+        return _normalised(h @ self.q.T + self.b)
+
+    def in_class(self, h: np.ndarray, class_: int) -> np.ndarray:
+        own = slice(class_ * self.width, min((class_ + 1) * self.width, self.words))
+        return _normalised(h @ self.q_in[own].T + self.b_in[own])
+
     def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
         """Natural logarithms, normalised: a row a context, a column a unit."""
-        s = self.predicted(contexts) @ self.q.T + self.b
-        s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        h = self.predicted(contexts)
+        out = self.of_classes(h)[:, self.class_of]
+        for k in range(self.classes):
+            out[:, k * self.width : min((k + 1) * self.width, self.words)] += self.in_class(h, k)
+        return out
+
+    def _step(self, index: np.ndarray, gradients: dict[int, np.ndarray]) -> None:
+        """An Adagrad step for the rows `index` (repeated ones are summed) of the parts that have gradients."""
+        index = index.astype(unit_type(len(self.r)))
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+        rows = index[starts]
+        for part, each in gradients.items():
+            g = np.add.reduceat(each[order], starts, axis=0)
+            s = self.past[part][rows] + g * g
+            self.past[part][rows] = s
+            self.parts()[part][rows] -= RATE * g / np.sqrt(s)
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive steps (Adagrad); a batch shares its noise."""
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
-        past = self.past
-        cumulative = np.cumsum(self.noise)
+        """One pass of noise-contrastive steps (Adagrad); a batch shares its noise classes, each word has noise from its class."""
+        log_noise = np.log(NOISE * self.class_noise).astype(np.float32)
+        cumulative, edges = np.cumsum(self.class_noise), np.r_[0.0, np.cumsum(self.noise[: self.words])]
         for at in range(0, len(targets), BATCH):
-            x, y = contexts[at : at + BATCH], targets[at : at + BATCH]
-            n = len(y)
+            x, unit = contexts[at : at + BATCH], targets[at : at + BATCH]
+            n, y = len(unit), self.class_of[unit]
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(cumulative) - 1)
             h = self.predicted(x)
             data = np.einsum("ij,ij->i", h, self.q[y]) + self.b[y] - log_noise[y]
             fake = h @ self.q[drawn].T + self.b[drawn] - log_noise[drawn]
-            g_data = (1 / (1 + np.exp(-np.clip(data, -30, 30))) - 1) / n
-            g_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30))) / n
+            g_data, g_fake = (_logistic(data) - 1) / n, _logistic(fake) / n
             g_h = g_data[:, None] * self.q[y] + g_fake @ self.q[drawn]
-            g_r, g_q, g_c, g_b = (np.zeros_like(p) for p in self.parts())
-            np.add.at(g_q, y, g_data[:, None] * h)
-            np.add.at(g_q, drawn, g_fake.T @ h)
-            np.add.at(g_b, y, g_data)
-            np.add.at(g_b, drawn, g_fake.sum(axis=0))
-            for j in range(CONTEXT):
-                np.add.at(g_r, x[:, j], g_h * self.c[j])
-                g_c[j] = (g_h * self.r[x[:, j]]).sum(axis=0)
-            for p, g, s in zip(self.parts(), (g_r, g_q, g_c, g_b), past):
-                s += g * g
-                p -= RATE * g / np.sqrt(s)
+            steps = [(np.r_[y, drawn], {1: np.concatenate([g_data[:, None] * h, g_fake.T @ h]), 3: np.r_[g_data, g_fake.sum(axis=0)]})]
+            own = np.flatnonzero(unit < self.words)
+            if len(own):
+                w, h_own = unit[own], h[own]
+                first = y[own] * self.width
+                last = np.minimum(first + self.width, self.words)
+                low = edges[first][:, None]
+                other = np.searchsorted(edges, low + (edges[last][:, None] - low) * rng.random((len(own), NOISE_IN_CLASS)), "right") - 1
+                both = np.concatenate([w[:, None], np.clip(other, first[:, None], last[:, None] - 1)], axis=1)  # the word and its noise
+                q = self.q_in[both]
+                g = _logistic((q @ h_own[:, :, None])[:, :, 0] + self.b_in[both] - self.log_noise_in[both])
+                g[:, 0] -= 1
+                g /= n
+                g_h[own] += (g[:, None, :] @ q)[:, 0]
+                steps.append((both.ravel(), {4: (g[:, :, None] * h_own[:, None, :]).reshape(-1, DIMENSIONS), 5: g.ravel()}))
+            steps.append((x.T.ravel(), {0: np.concatenate([g_h * self.c[j] for j in range(CONTEXT)])}))
+            steps.append((np.arange(CONTEXT), {2: np.stack([np.einsum("ij,ij->j", g_h, self.r[x[:, j]]) for j in range(CONTEXT)])}))
+            for step in steps:
+                self._step(*step)
 
 
 def blocks(units: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -220,11 +279,11 @@ def grams(units: list[np.ndarray], before: int) -> tuple[np.ndarray, np.ndarray]
     return np.stack([flat[at - 1 - j] for j in range(CONTEXT)], axis=1), flat[at]
 
 
-def _train(batches: Iterator[pa.RecordBatch], params: bytes, noise: np.ndarray, round_: int) -> Iterator[pa.RecordBatch]:
-    model, n = LogBilinear(len(noise), noise).load(params), 0
+def _train(batches: Iterator[pa.RecordBatch], params: bytes, noise: np.ndarray, words: int, round_: int) -> Iterator[pa.RecordBatch]:
+    model, n = LogBilinear(len(noise), noise, words).load(params), 0
     rng = np.random.default_rng(round_)
     for batch in batches:
-        units = [np.frombuffer(b, np.uint16) for b in batch.column(0).to_pylist()]
+        units = [np.frombuffer(b, unit_type(len(noise))) for b in batch.column(0).to_pylist()]
         for a, b in blocks(units):
             contexts, targets = grams(units[a:b], len(noise))
             order = rng.permutation(np.arange(round_, len(targets), ROUNDS))
@@ -249,18 +308,27 @@ def _log10(model: LogBilinear, units: list[np.ndarray]) -> np.ndarray:
     code = (contexts * (before + 1) ** np.arange(CONTEXT)).sum(axis=1)
     _, first, inverse = np.unique(code, return_index=True, return_inverse=True)  # a context's products are taken once
     order = np.argsort(inverse, kind="stable")
-    logs = np.empty(len(targets))
+    logs, h = np.empty(len(targets), np.float32), model.predicted(contexts[first])
+    class_ = model.class_of[targets]
     cuts = np.searchsorted(inverse[order], np.arange(0, len(first) + BATCH, BATCH))
     for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        table = model.log_probabilities(contexts[first[i * BATCH : (i + 1) * BATCH]])
-        logs[order[a:b]] = table[inverse[order[a:b]] - i * BATCH, targets[order[a:b]]]
-    return np.add.reduceat(logs, np.cumsum([0, *map(len, units)])[:-1]) / np.log(10)
-
-
-def _score(batches: Iterator[pa.RecordBatch], params: bytes, noise: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    model = LogBilinear(len(noise), noise).load(params)
+        table = model.of_classes(h[i * BATCH : (i + 1) * BATCH])
+        logs[order[a:b]] = table[inverse[order[a:b]] - i * BATCH, class_[order[a:b]]]
+    order = order[np.argsort(class_[order].astype(unit_type(len(model.class_noise))), kind="stable")]  # by class, then context
+    cuts = np.searchsorted(class_[order], np.arange(model.classes + 1))
+    for k, (begin, end) in enumerate(zip(cuts[:-1], cuts[1:])):
+        for a in range(begin, end, 16 * BATCH):
+            own = order[a : min(a + 16 * BATCH, end)]
+            new = np.r_[True, inverse[own[1:]] != inverse[own[:-1]]]
+            table = model.in_class(h[inverse[own[new]]], k)
+            logs[own] += table[np.cumsum(new) - 1, targets[own] - k * model.width]
+    return np.add.reduceat(logs.astype(np.float64), np.cumsum([0, *map(len, units)])[:-1]) / np.log(10)
+
+
+def _score(batches: Iterator[pa.RecordBatch], params: bytes, noise: np.ndarray, words: int, n: int) -> Iterator[pa.RecordBatch]:
+    model = LogBilinear(len(noise), noise, words).load(params)
     for batch in batches:
-        units = [np.frombuffer(b, np.uint16) for b in batch.column("units").to_pylist()]
+        units = [np.frombuffer(b, unit_type(len(noise))) for b in batch.column("units").to_pylist()]
         if not units:
             continue
         score = np.concatenate([_log10(model, units[a:b]) for a, b in blocks(units)]) + batch.column("in_unit").to_numpy()
@@ -277,22 +345,22 @@ def scored(docs: DataFrame) -> DataFrame:
     vocabulary = saved(words.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "id")).alias("places")))
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
-    top = {bytes(r.word): i for i, r in enumerate(vocabulary.where("n > 0").orderBy(F.desc("n"), "word").select("word").limit(TOP).collect())}
+    top = {bytes(r.word): i for i, r in enumerate(vocabulary.where(F.col("n") >= least_count(n)).orderBy(F.desc("n"), "word").select("word").collect())}  # at most RARER * n ** (1 / 3)
     units = vocabulary.where("n > 0").select("word", "n").mapInArrow(partial(_unit_counts, top=top), "unit int, total long, once long")
     rows = units.groupBy("unit").agg(F.sum("total").alias("total"), F.sum("once").alias("once")).collect()  # a row a unit
-    total, once = np.zeros(TOP + SHAPES), np.zeros(TOP + SHAPES)
+    total, once = np.zeros(len(top) + SHAPES), np.zeros(len(top) + SHAPES)
     for r in rows:
         total[r.unit], once[r.unit] = r.total, r.once
     places = vocabulary.select("n", F.explode("places").alias("p")).select("p.chunk", "p.id", "n")
     look_up = partial(_look_up, top=top, total=total, once=once, n=n, v=v)
     units_of = saved(encoded.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(look_up, _SCORED))
     noise = (total + 1) / (total + 1).sum()
-    params = LogBilinear(len(noise), noise).to_bytes()
+    params = LogBilinear(len(noise), noise, len(top)).to_bytes()
     for i in range(ROUNDS):
-        trained = units_of.where("NOT held_out").select("units").mapInArrow(partial(_train, params=params, noise=noise, round_=i), "mean int, n long, params binary")
+        trained = units_of.where("NOT held_out").select("units").mapInArrow(partial(_train, params=params, noise=noise, words=len(top), round_=i), "mean int, n long, params binary")
         means = [(r.n, bytes(r.params)) for r in trained.groupBy("mean").applyInArrow(_mean, "n long, params binary").collect()]  # at most MEANS
         if means:
             table = pa.table({"n": pa.array([x for x, _ in means], pa.int64()), "params": pa.array([p for _, p in means], pa.binary())})
             params = _mean(table).column("params")[0].as_py()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return units_of.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "in_unit", "units").mapInArrow(partial(_score, params=params, noise=noise, n=n), schema)
+    return units_of.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "in_unit", "units").mapInArrow(partial(_score, params=params, noise=noise, words=len(top), n=n), schema)

@@ -244,6 +244,30 @@ def test_log_bilinear_is_normalised_and_learns():
     assert np.allclose(p.sum(axis=1), 1) and p[np.arange(len(targets)), targets].mean() > 0.6
 
 
+def test_units_grow_and_classes_are_normalised(spark):
+    """Two words that follow one another in turn are predicted however many words there are; 600 words have 600 units."""
+    assert [langmodel.least_count(10**k) for k in (3, 6, 9)] == [2, 100, 10000]
+    rng = np.random.default_rng(3)
+    model = langmodel.LogBilinear(50, np.full(50, 0.02), 40)
+    contexts, targets = langmodel.grams([rng.integers(0, 50, 30) for _ in range(20)], 50)
+    model.train(contexts, targets, rng)
+    table = model.log_probabilities(contexts)
+    assert np.allclose(np.exp(table).sum(axis=1), 1, atol=1e-5)
+    units = [np.array(u) for u in ([1, 45, 3, 39], [7], [49, 0, 1, 45, 3])]
+    contexts, targets = langmodel.grams(units, 50)
+    each = model.log_probabilities(contexts)[np.arange(10), targets] / np.log(10)
+    assert np.allclose(langmodel._log10(model, units), [each[:4].sum(), each[4], each[5:].sum()], atol=1e-4)
+    follow = rng.permutation(600)
+    rows = []
+    for i in range(700):
+        w = [int(rng.integers(600))]
+        for _ in range(199):
+            w.append(int(follow[w[-1]]))
+        rows.append((i, " ".join(f"w{x:03d}" for x in w)))
+    got = langmodel.scored(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").collect()
+    assert sum(r.score for r in got) > 0.85 * sum(r.base_score for r in got)
+
+
 def test_fingerprints(docs, rows, empty):
     plain = sorted((r for r in rows if r[0] is not None and r[0] != 8), key=lambda r: -r[0])
     got = {r.doc_id: r for r in minhash.edited_fingerprints(docs.where("doc_id <> 8"), 4).collect()}
