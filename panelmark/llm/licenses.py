@@ -8,8 +8,9 @@ shingles, compared as text. Documents that share no shingle with any template ca
 which loses nothing.
 
 Built-in functions only. Null and empty texts match nothing; a text or template of fewer than SHINGLE words is one shingle.
-Each row and license gives at most one row, its best window (the first of equal ones); repeated rows give rows of their
-own. Empty tables of documents or templates give empty results.
+Each row and license gives at most one row, its best window (the first of equal ones). Licenses' texts resemble each other:
+of matches of two licenses in overlapping windows that rest on the same shingles only the one with more of them is given.
+Repeated rows give rows of their own. Empty tables of documents or templates give empty results.
 """
 
 from __future__ import annotations
@@ -26,19 +27,50 @@ from panelmark.llm.minhash import let
 
 SHINGLE, LEAST, MISS = 5, 0.8, 1e-4
 
-# Notices of public licenses, by SPDX identifier.
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+_MIT_REST = """, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_REST = """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = """ 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(name: str, version: str, what: str = "program", mark: str = ":") -> str:
+    return f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{',' if mark == ':' else mark} {version}"
+
+
+# Notices and whole short texts of public licenses, by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", _BSD),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+    ("MIT", _MIT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("BSD-2-Clause", _BSD + _BSD_TWO + _BSD_REST),
+    ("BSD-3-Clause", _BSD + _BSD_TWO + _BSD_THIRD + _BSD_REST),
+    ("ISC", _ISC + _ISC_REST),
+    ("MIT", _MIT + _MIT_REST),
+    ("AGPL-3.0-or-later", _gnu("Affero General Public License", "either version 3 of the License, or (at your option) any later version.")),
+    ("GPL-2.0-only", _gnu("General Public License", "version 2 of the License.", mark=";")),
+    ("GPL-2.0-or-later", _gnu("General Public License", "either version 2 of the License, or (at your option) any later version.", mark=";")),
+    ("LGPL-2.1-or-later", _gnu("Lesser General Public License", "either version 2.1 of the License, or (at your option) any later version.", "library", ";")),
+    ("LGPL-3.0-or-later", _gnu("Lesser General Public License", "either version 3 of the License, or (at your option) any later version.")),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
 )
 
 
@@ -118,5 +150,19 @@ def scanned(docs: DataFrame, pairs: Sequence[tuple[str, str]] = TEMPLATES) -> Da
     both = found.join(own.select("row", "doc_id", "words"), "row").join(F.broadcast(texts), "template")
     held = F.array_intersect("texts", shingle_texts(F.slice("words", F.col("start") + 1, F.col("width") + (SHINGLE - 1))))
     both = both.withColumn("containment", F.size(held) / F.size("texts")).where(F.col("containment") >= LEAST)
-    best = F.max(F.struct("containment", (-F.col("start")).alias("minus"), F.least(F.col("start") + F.col("width") + (SHINGLE - 2), F.size("words") - 1).alias("last")))
-    return both.groupBy("row", "doc_id", "license").agg(best.alias("b")).select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.minus")).alias("first_word"), F.col("b.last").alias("last_word"))
+    last = F.least(F.col("start") + F.col("width") + (SHINGLE - 2), F.size("words") - 1).alias("last")
+    best = F.max(F.struct("containment", (-F.col("start")).alias("minus"), last, held.alias("held"), "texts"))
+    matches = both.groupBy("row", "doc_id", "template", "license").agg(best.alias("b")).groupBy("row", "doc_id")
+    matches = matches.agg(F.collect_list(F.struct("license", "b.*")).alias("all"))  # at most a match a template
+
+    def weaker(x: Column, y: Column) -> Column:
+        """Whether y, of another license, has most of x's shingles in the same place and more than x, and x little that y's template lacks."""
+        apart = (-y.minus > x.last) | (-x.minus > y.last)
+        more = (F.size(y.held) > F.size(x.held)) | ((F.size(y.held) == F.size(x.held)) & (y.containment > x.containment))
+        lacked = F.array_except(x.texts, y.texts)
+        little = (F.size(lacked) == 0) | (2 * F.size(F.array_intersect(lacked, x.held)) < F.size(lacked))
+        return (x.license != y.license) & ~apart & more & little & (F.size(F.array_intersect(x.held, y.held)) >= LEAST * F.size(x.held))
+
+    kept = matches.select("row", "doc_id", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: weaker(x, y)))).alias("m"))
+    found = kept.groupBy("row", "doc_id", F.col("m.license").alias("license")).agg(F.max(F.struct("m.containment", "m.minus", "m.last")).alias("b"))
+    return found.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.minus")).alias("first_word"), F.col("b.last").alias("last_word"))

@@ -325,6 +325,16 @@ def test_licenses(docs, rows, empty):
     assert licenses.scanned(empty).count() == 0 and licenses.scanned(docs, []).count() == 0
 
 
+def test_licenses_that_resemble_each_other(spark):
+    """Each whole text is found as its own license only; two notices in one text are both found."""
+    texts = [(n, "start of a file " + t + " and the code that follows") for n, t in licenses.TEMPLATES]
+    two = [dict(licenses.TEMPLATES)[n] for n in ("GPL-2.0-or-later", "GPL-3.0-or-later")]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(900, (" filler" * 60).join(two))]
+    got = licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(i, n) for i, (n, _) in enumerate(texts)] + [(900, "GPL-2.0-or-later"), (900, "GPL-3.0-or-later")]
+    assert {"BSD-3-Clause", "AGPL-3.0-or-later", "LGPL-2.1-or-later", "CC0-1.0"} <= {r.license for r in got}
+
+
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """The public table marked as a unigram model, its two scores beyond float's precision set to the least of the others."""
