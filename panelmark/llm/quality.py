@@ -119,9 +119,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS))
     own = own.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    f = features(text_of())
-    rows = docs.join(F.broadcast(own), "doc_id").select("y", *[e.alias(k) for k, e in f.items()]).toPandas()  # own has at most sample_rows rows
-    rows = rows.sort_values(list(rows.columns))[: 2 * sample_rows]
+    # a repeated id gives one row, the one whose text has the least hash: at most sample_rows rows come to the driver
+    texts = docs.join(F.broadcast(own), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64(text_of()).alias("hash"), text_of().alias("text"))).alias("t"))
+    rows = texts.select("y", F.col("t.text").alias("text")).select("y", *[e.alias(k) for k, e in features(F.col("text")).items()]).toPandas()
+    rows = rows.sort_values(list(rows.columns))
     rows = rows.assign(**{f"{k}_root": np.sqrt(rows[k]) for k in BENT})
     names = [k for k in rows.columns if k != "y"]
     y, x = rows["y"].to_numpy(float), rows[names].to_numpy(float)

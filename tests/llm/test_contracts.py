@@ -394,6 +394,17 @@ def test_quality(spark, docs, rows, empty):
     assert quality.scored(docs, quality.learn(docs, labels.limit(0))).select("score").distinct().collect() == [(0.5,)]
 
 
+def test_quality_takes_one_row_of_a_repeated_id(spark):
+    rng = random.Random(12)
+    texts = [words(rng, 40) for _ in range(60)] + [" ".join(w.upper() + "!!" for w in words(rng, 40).split()) for _ in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    often = next(i for i in range(60, 120) if zlib.crc32(str(i).encode()) % quality.FOLDS)
+    docs = spark.createDataFrame([*enumerate(texts), *[(often, texts[often])] * 400], "doc_id long, text string").repartition(3)
+    ranking = quality.learn(docs, labels, 120)
+    assert ranking == quality.learn(docs.distinct(), labels, 120)
+    assert ranking.names and {r.predicted for r in quality.scored(docs, ranking).collect()} == {0, 1}
+
+
 def test_bradley_terry_orders_by_preference():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 3))
