@@ -17,6 +17,7 @@ characters are folded outside Spark by the same rule, because the aggregate copi
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -275,3 +276,14 @@ def _decode(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.Re
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(partial(_decode, pieces=Pieces.load(model)), "doc_id long, text string")
+
+
+def _with_decoded(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = [hashlib.sha256(pieces.decode(i.as_py() or []).encode()).hexdigest() for i in batch.column(1)]  # a row's ids at a time
+        yield pa.record_batch({"doc_id": batch.column(0), "ids": batch.column(1), "decoded_sha256": pa.array(digests, pa.string())})
+
+
+def with_decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
+    """rows (doc_id, ids) with decoded_sha256, of the text that the ids decode to as UTF-8."""
+    return rows.select("doc_id", "ids").mapInArrow(partial(_with_decoded, pieces=Pieces.load(model)), "doc_id long, ids array<int>, decoded_sha256 string")

@@ -20,7 +20,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded(table(spark, sf_dir, "documents")).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Encodes every document and decodes its ids again."""
+    own = pieces.with_decoded(pieces.encoded(table(spark, sf_dir, "documents")))
+    return own.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

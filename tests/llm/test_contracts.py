@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelmark.llm import exact, langmodel, licenses, minhash, mixing, pieces, quality, simhash, substrings, urls
+from panelmark.llm import exact, langmodel, licenses, minhash, mixing, pieces, quality, queries, simhash, substrings, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, part int, key string, size long, norm string"
 
@@ -368,6 +368,12 @@ def test_pieces(spark, docs, rows, empty, unigram):
     assert pieces.encoded(empty, path).count() == 0
 
 
+def test_sentencepiece_query_decodes(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_sentencepiece(spark, str(tmp_path)).select("doc_id", "decoded_sha256").collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in got) == sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
+
+
 def test_viterbi_on_distinct_words(spark, rows, unigram):
     path, library = unigram
     table = pieces.Pieces.load(path)
