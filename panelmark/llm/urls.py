@@ -1,8 +1,8 @@
 """URL filters: longest-match rules, and a tree of path templates judged by labelled purity.
 
 Per host, path segments that vary become wildcards: those with digits, and those under a branch where most values
-are new ones. Sibling branches of the tree whose share of bad pages is statistically alike are merged into one
-wildcard branch. A template is rejected when its share of bad labelled pages, smoothed towards its host's
+are new ones. Branches of the tree that differ in their first segment only and whose share of bad pages is statistically
+alike are merged into one wildcard branch; branches that part further down are not merged. A template is rejected when its share of bad labelled pages, smoothed towards its host's
 and that towards the whole's, reaches a threshold. A rule that fits a url comes before the template.
 
 Built-in DataFrame functions only. A null url has an empty host and path and is judged as such; a page without labels on
