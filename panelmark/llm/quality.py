@@ -49,7 +49,8 @@ def features(text: Column) -> dict[str, Column]:
         "length": F.log1p(n),
         "word_length": F.log1p(n / F.greatest(n_words, F.lit(1))),
         "distinct_words": let(F.split(text, f"[{SPACE}]+"), lambda w: F.size(F.array_distinct(w)) / F.greatest(F.sqrt(F.size(w).cast("double")), F.lit(1.0))),
-        "repeats": share("(?<!\\S)(\\S++)(?:\\s+\\1(?!\\S))+"),
+        # a word that is followed by itself, one match each: a repeated group would recurse once a repetition and end the JVM
+        "repeats": share("(?<!\\S)(\\S++)\\s++(?=\\1(?!\\S))"),
         "distinct_lines": let(lines, lambda x: F.size(F.array_distinct(x)) / F.size(x)),
         "line_length": F.log1p(n / F.size(lines)),
     }

@@ -400,6 +400,17 @@ def test_quality(spark, docs, rows, empty):
     assert quality.scored(docs, quality.learn(docs, labels.limit(0))).select("score").distinct().collect() == [(0.5,)]
 
 
+def test_quality_query_scores_very_long_and_repetitive_texts(spark, tmp_path):
+    rng = random.Random(13)
+    texts = [words(rng, 60) for _ in range(60)] + [" ".join(w.upper() + "!!" for w in words(rng, 60).split()) for _ in range(60)]
+    texts += ["a " * 100_000, "one line\n" * 20_000, "word and " * 1_200_000, "b" * 5_000_000, "\n" * 300_000, "!" * 300_000]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.op1_quality_classifier(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in got)
+
+
 def test_quality_takes_one_row_of_a_repeated_id(spark):
     rng = random.Random(12)
     texts = [words(rng, 40) for _ in range(60)] + [" ".join(w.upper() + "!!" for w in words(rng, 40).split()) for _ in range(60)]
