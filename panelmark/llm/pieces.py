@@ -2,28 +2,29 @@
 
 Texts are cut where no piece can lie across (between two characters that stand side by side in no piece). Each
 distinct stretch is encoded once: its substrings of bounded length are exploded and equi-joined to the piece
-table, the edges are grouped by stretch, and Spark's higher-order aggregate folds Viterbi over them: the best
-score up to every character, with the piece and the place it comes from. Ties go to the longer last piece, as in the
-library. Characters without a piece are written as byte pieces.
+table, the edges are grouped by stretch, and Spark's higher-order aggregate folds them. What is folded follows the
+model: for a unigram table Viterbi, the best score up to every character, where ties go to the longer last piece; for a
+table made by merges the merges, as the library does them: of all neighbours that together are a piece those with the best
+score, the leftmost first, become one. (The highest sum of such a table's ranks is another segmentation.) Both give
+the library's ids. Characters without a piece are written as byte pieces.
 
-The encoding is the segmentation with the highest sum of scores, as of a unigram model. A table made by merges
-has ranks as scores; its merge order is not replayed, so ids can differ from merging while decoding is the same.
-Chunks of the corpus number their own stretches and get the encoded ones back, so that texts are not shuffled.
+Chunks of the corpus number their own words and get the encoded ones back, so that texts are not shuffled: chunks are
+stored in buckets and the encoded stretches travel to them.
 
 A null text counts as empty and has no ids. Decoding is exact but for the character U+2581, which stands for the space.
 Repeated rows and null ids are rows like others; an empty table gives an empty result. Stretches of over LONG
-characters are folded outside Spark by the same rule, because the aggregate copies its state at each step.
+characters (LONG_MERGED for merges) are folded outside Spark by the same rule, as a fold's steps grow with the square.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import heapq
 import zlib
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,46 +33,63 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import saved, text_of
+from panelmark.llm.common import partitions, saved_by, text_of
+from panelmark.llm.minhash import let
 
 #: The vocabulary file that the query uses; a parameter of everything below.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CHUNK, LONG = 1 << 24, 512
+#: Bytes of text that number their words together, and bytes that are cut into words at once (more if one text has more).
+CHUNK, SLICE = 1 << 24, 1 << 21
+#: Characters of a stretch that is folded in Spark: by Viterbi; by merges, where all borders fit one long.
+LONG, LONG_MERGED = 512, 61
+#: Bits of an edge's key below the one that says that its piece is odd(): its rank, first character and length.
+RANK_BITS, START_BITS, LENGTH_BITS = 22, 6, 5
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """Pieces that texts can have by surface, with id and score; the ids of the 256 byte pieces; surfaces of all ids."""
+    """Pieces that texts can have by surface, with id and score; the ids of the 256 byte pieces; surfaces of all ids.
+
+    merges: whether the table was made by merges, and not as a unigram model.
+    """
 
     scores: dict[str, tuple[int, float]]
     bytes_: tuple[int, ...]
     surfaces: tuple[bytes, ...]
+    merges: bool = False
 
     @classmethod
     def load(cls, model: str = MODEL) -> Pieces:
-        import sentencepiece
-
-        p = sentencepiece.SentencePieceProcessor(model_file=model)
-        scores, surfaces, bytes_ = {}, [], [p.unk_id()] * 256
-        for i in range(p.get_piece_size()):
-            piece = p.id_to_piece(i)
-            if p.is_byte(i):
-                value = int(piece[3:5], 16)
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(model, "rb") as f:
+            proto.ParseFromString(f.read())
+        kinds = proto.SentencePiece
+        scores, surfaces, bytes_ = {}, [], [next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)] * 256
+        for i, p in enumerate(proto.pieces):
+            if p.type == kinds.BYTE:
+                value = int(p.piece[3:5], 16)
                 bytes_[value] = i
                 surfaces.append(bytes([value]))
-            elif p.is_control(i) or p.is_unknown(i):
+            elif p.type in (kinds.CONTROL, kinds.UNKNOWN):
                 surfaces.append(b"")
             else:
-                scores[piece] = (i, p.get_score(i))
-                surfaces.append(piece.replace(SPACE, " ").encode())
-        return cls(scores, tuple(bytes_), tuple(surfaces))
+                scores[p.piece] = (i, p.score)
+                surfaces.append(p.piece.replace(SPACE, " ").encode())
+        return cls(scores, tuple(bytes_), tuple(surfaces), proto.trainer_spec.model_type == proto.trainer_spec.BPE)
 
     @property
     def longest(self) -> int:
         return max(map(len, self.scores), default=1)
 
+    @property
+    def most(self) -> int:
+        """Characters of the longest stretches that are folded in Spark."""
+        return LONG_MERGED if self.merges else LONG
+
     @property
     def unknown(self) -> float:
         return min((s for _, s in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
@@ -79,8 +97,27 @@ class Pieces:
     def joints(self) -> set[str]:
         return {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
 
+    def ranks(self) -> dict[str, int]:
+        """The pieces' places by score, the best first; equal scores are one place."""
+        place = {s: i for i, s in enumerate(sorted({s for _, s in self.scores.values()}, reverse=True))}
+        return {p: place[s] for p, (_, s) in self.scores.items()}
+
+    def odd(self) -> set[str]:
+        """Pieces that merging does not make from their own characters by better scores only, and those that share a score.
+
+        Without one of them in a stretch no merge makes a better one possible that was not possible before: what lies between the
+        ends of a better piece has by then been merged as it would be alone, to that piece.
+        """
+        place, shared = self.ranks(), Counter(s for _, s in self.scores.values())
+
+        def regular(p: str) -> bool:
+            steps = [place[q] for q in self._merges(p)]
+            return bool(steps) and steps[-1] == place[p] and steps == sorted(steps) and self.merged(p) == [self.scores[p][0]]
+
+        return {p for p, (_, s) in self.scores.items() if len(p) > 1 and (shared[s] > 1 or not regular(p))}
+
     def viterbi(self, stretch: str) -> list[int]:
-        """The ids of a stretch; -1 - c for a character c without a piece."""
+        """The ids of a stretch by the best sum of scores; -1 - c for a character c without a piece."""
         best, back = [0.0] + [-np.inf] * len(stretch), [(0, 0)] * (len(stretch) + 1)
         for end in range(1, len(stretch) + 1):
             for start in range(max(0, end - self.longest), end):
@@ -97,9 +134,49 @@ class Pieces:
             ids.append(i)
         return ids[::-1]
 
+    def _merges(self, stretch: str, ends: list[int] | None = None) -> Iterator[str]:
+        """The pieces that merging makes, in its order, from a heap. ends: where the token that begins at a place ends, 0 if none begins there."""
+        n = len(stretch)
+        ends = ends if ends is not None else list(range(1, n + 1))
+        before = list(range(-1, n - 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(start: int) -> None:
+            middle = ends[start]
+            if middle < n and (found := self.scores.get(stretch[start : ends[middle]])):
+                heapq.heappush(heap, (-found[1], start, middle, ends[middle]))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, start, middle, end = heapq.heappop(heap)
+            if ends[start] != middle or ends[middle] != end:
+                continue
+            ends[start], ends[middle] = end, 0
+            yield stretch[start:end]
+            if end < n:
+                before[end] = start
+            if start:
+                offer(before[start])
+            offer(start)
+
+    def merged(self, stretch: str) -> list[int]:
+        """The ids of a stretch by merges; -1 - c for a character c that is left alone."""
+        ends = list(range(1, len(stretch) + 1))
+        for _ in self._merges(stretch, ends):
+            pass
+        ids, at = [], 0
+        while at < len(stretch):
+            ids.append(-1 - ord(stretch[at]) if ends[at] == at + 1 else self.scores[stretch[at : ends[at]]][0])
+            at = ends[at]
+        return ids
+
+    def segmented(self, stretch: str) -> list[int]:
+        return self.merged(stretch) if self.merges else self.viterbi(stretch)
+
     def spelt(self, ids: list[int]) -> list[int]:
-        """ids with characters without a piece as byte pieces."""
-        return [j for i in ids for j in ([i] if i >= 0 else [self.bytes_[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
+        """ids with characters as their pieces, or byte pieces where they have none."""
+        return [j for i in ids for j in ([i] if i >= 0 else [self.scores[chr(-1 - i)][0]] if chr(-1 - i) in self.scores else [self.bytes_[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.surfaces[i] for i in ids])
@@ -113,11 +190,11 @@ class _Numbers(dict):
 
 
 _ENCODED = "chunk long, doc_id long, ids binary, lengths binary, inner binary, stretches array<string>"
-_WORDS = re.compile(rb" *[^ ]+| +")
+_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("inner", pa.binary()), ("stretches", pa.list_(pa.string()))])
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Bytes of one rank together, compressed: what is stored and dealt is about as long as the text compressed."""
+    """Bytes of one rank together, compressed: what is stored is about as long as the text compressed."""
     return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
@@ -125,33 +202,93 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], joints: set[str]) -> Iterator[pa.RecordBatch]:
+def _offsets(strings: pa.Array) -> np.ndarray:
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def _strings(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), data)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of non-empty texts one after the other, each with the spaces before it as SPACE, and how many each text has.
+
+    Spaces at a text's end are a word; one more space stands before each text.
+    """
+    split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), split.flatten(), pa.scalar("", pa.large_string()))
+    offsets = _offsets(words)
+    empty = np.diff(offsets) == len(SPACE.encode())
+    if empty.any():  # what stands between two spaces goes to the word after it
+        begins = np.cumsum(counts) - counts
+        starts = np.r_[True, ~empty[:-1]]
+        starts[begins] = True
+        counts = np.add.reduceat(starts.astype(np.int64), begins)
+        words = _strings(np.r_[offsets[:-1][starts], offsets[-1]], words.buffers()[2])
+    return words, counts
+
+
+@cache
+def _classes(joints: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each character, and whether two classes are side by side in a piece; class 0 is in no joint."""
+    chars = sorted({c for j in joints for c in j})
+    of = np.zeros(0x110000, np.uint16)
+    of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    table = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    for j in joints:
+        table[of[ord(j[0])], of[ord(j[1])]] = True
+    return of, table
+
+
+def stretches_of(words: pa.Array, joints: frozenset[str]) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of the words one after the other, and how many each word has."""
+    offsets, data = _offsets(words), words.buffers()[2]
+    whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    of, table = _classes(joints)
+    kind = of[np.frombuffer(whole.tobytes().decode().encode("utf-32-le"), np.uint32)]
+    at = np.flatnonzero((whole & 0xC0) != 0x80) + offsets[0]  # where characters begin
+    first = np.zeros(len(at), bool)
+    first[np.searchsorted(at, offsets[:-1])] = True
+    begins = first | np.r_[True, ~table[kind[:-1], kind[1:]]]
+    counts = np.add.reduceat(begins.astype(np.int64), np.flatnonzero(first))
+    return _strings(np.r_[at[begins], offsets[-1]].astype(np.int64), data), counts
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about `most` bytes of their second column."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
+        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], joints: frozenset[str], most: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """A row a document with its words' numbers, and last for each chunk a row with its words' stretches."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("inner", pa.binary()), ("stretches", pa.list_(pa.string()))])
     chunk, words, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, _Numbers(), 0
 
     def vocabulary() -> pa.RecordBatch:
-        stretches, lengths, inner = _Numbers(), array("I"), array("I")
-        for w in words:
-            text, at, n = w.decode().replace(" ", SPACE), 0, 0
-            for i in range(1, len(text)):
-                if text[i - 1 : i + 1] not in joints:
-                    inner.append(stretches[text[at:i]])
-                    at, n = i, n + 1
-            inner.append(stretches[text[at:]])
-            lengths.append(n + 1)
-        return pa.record_batch([[chunk], [None], [None], [lengths.tobytes()], [inner.tobytes()], pa.array([list(stretches)], pa.list_(pa.string()))], schema=schema)
-
-    for batch in batches:
-        ids = []
-        for t in batch.column(1).cast(pa.binary()).to_pylist():
-            found = _WORDS.findall(b" " + t) if t else []
-            own = np.fromiter(map(words.__getitem__, found), np.uint32, len(found))
-            ids.append(_packed(own))
-            size += len(t or b"")
-        n = len(ids)
-        yield pa.record_batch([[chunk] * n, batch.column(0), ids, [None] * n, [None] * n, [None] * n], schema=schema)
-        if size > CHUNK:
+        stretches, lengths = stretches_of(pa.array(list(words), pa.large_string()), joints)
+        coded = stretches.dictionary_encode()
+        inner = coded.indices.to_numpy().astype(np.uint32)
+        return pa.record_batch([[chunk], [None], [None], [lengths.astype(np.uint32).tobytes()], [inner.tobytes()], pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string()))], schema=_SCHEMA)
+
+    for batch in _slices(batches, min(SLICE, most)):
+        texts = batch.column(1).fill_null("")
+        there = pc.not_equal(pc.binary_length(texts), 0)
+        found, n = [], np.zeros(len(texts), np.int64)
+        if pc.any(there).as_py():
+            own, n[there.to_numpy(zero_copy_only=False)] = words_of(texts.filter(there))
+            coded = own.dictionary_encode()
+            numbers = np.fromiter(map(words.__getitem__, coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary))
+            found = np.split(numbers[coded.indices.to_numpy()], np.cumsum(n)[:-1])
+        ids = [_packed(x) if len(x) else b"" for x in found] if len(found) else [b""] * len(texts)
+        nothing = [None] * len(texts)
+        yield pa.record_batch([[chunk] * len(texts), batch.column(0), ids, nothing, nothing, nothing], schema=_SCHEMA)
+        size += pc.sum(pc.binary_length(texts)).as_py() or 0
+        if size > most:
             yield vocabulary()
             chunk, words, size = chunk + 1, _Numbers(), 0
     if words:
@@ -159,15 +296,23 @@ def _cut(batches: Iterator[pa.RecordBatch], joints: set[str]) -> Iterator[pa.Rec
 
 
 def lattice(stretches: DataFrame, pieces: Pieces) -> DataFrame:
-    """Edges of the distinct strings `stretch`: stretch, start, end, id and score."""
-    spark = stretches.sparkSession
-    table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.scores.items()], "piece string, id int, score double")
-    spans = stretches.select("stretch", F.length("stretch").alias("n")).select("stretch", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = spans.select("stretch", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, F.col("n")))).alias("end"))
-    spans = spans.withColumn("piece", F.expr("substring(stretch, start + 1, end - start)"))
-    edges = spans.join(F.broadcast(table), "piece", "left")  # the vocabulary: at most as large as the model's file
+    """Edges of the distinct strings `stretch`: stretch, start, end, id, score, rank and odd.
+
+    Of a table made by merges, single characters are no edges: they are what is left alone.
+    """
+    spark, least = stretches.sparkSession, 2 if pieces.merges else 1
+    ranks, odd = pieces.ranks(), pieces.odd() if pieces.merges else set()
+    rows = [(p, i, float(s), ranks[p], p in odd) for p, (i, s) in pieces.scores.items() if len(p) >= least]
+    table = spark.createDataFrame(rows, "piece string, id int, score double, rank int, odd boolean")
+    spans = stretches.select("stretch", F.length("stretch").alias("n")).where(F.col("n") >= least).select("stretch", "n", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("start"))
+    spans = spans.select("stretch", "start", F.explode(F.sequence(F.col("start") + least, F.least(F.col("start") + pieces.longest, F.col("n")))).alias("end"))
+    spans = spans.withColumn("piece", F.coalesce(F.expr("substring(stretch, start + 1, end - start)"), F.lit("")))  # never null: no filter works it out a second time
+    if pieces.merges:
+        return spans.join(F.broadcast(table), "piece").select("stretch", "start", "end", "id", "score", "rank", "odd")  # the vocabulary: at most as large as the model's file
+    edges = spans.join(F.broadcast(table), "piece", "left")
     unknown = -1 - F.ascii("piece")
-    return edges.where("id IS NOT NULL OR end - start = 1").select("stretch", "start", "end", F.coalesce("id", unknown).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
+    edges = edges.where("id IS NOT NULL OR end - start = 1")
+    return edges.select("stretch", "start", "end", F.coalesce("id", unknown).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"), "rank", "odd")
 
 
 def viterbi(edges: Column) -> Column:
@@ -197,15 +342,55 @@ def viterbi(edges: Column) -> Column:
     return F.aggregate(F.array_sort(edges), empty, step, walk)
 
 
+ODD_BIT = RANK_BITS + START_BITS + LENGTH_BITS
+
+
+def merging_edge() -> Column:
+    """An edge of a stretch of at most LONG_MERGED characters: a key, whose order is by odd, rank, then start, the bits of its ends and of
+    the borders that can lie between them, and its start and id in one long."""
+    up = lambda x, n: F.call_function("shiftleft", x, n)
+    key, length, one = F.col("odd").cast("long"), F.col("end") - F.col("start"), F.lit(1).cast("long")
+    for part, bits in ((F.col("rank"), RANK_BITS), (F.col("start"), START_BITS), (length, LENGTH_BITS)):
+        key = F.shiftleft(key, bits).bitwiseOR(part.cast("long"))
+    token = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))
+    return F.struct(key.alias("key"), up(up(one, length) + 1, F.col("start")).alias("ends"), up(up(one, length) - 2, F.col("start")).alias("inner"), token.alias("token"))
+
+
+def merged(stretch: Column, edges: Column) -> Column:
+    """Folds merging_edge()s to the tokens of several characters that merging gives, each as its start and id in one long.
+
+    The state is a long with a bit for every border between tokens. An edge can be merged when both its ends are borders and
+    exactly one border is inside, which goes. Without an odd() piece one walk over the edges by rank and start does all merges in
+    their order; with one, each step looks for the first edge that can be merged.
+    """
+    n, one, odd = F.length(stretch), F.lit(1).cast("long"), 1 << ODD_BIT
+    begin = F.call_function("shiftleft", one, n + 1) - 1
+    able = lambda b, e: (b.bitwiseAND(e.ends) == e.ends) & (F.bit_count(b.bitwiseAND(e.inner)) == 1)
+    tokens = lambda own, b: F.transform(F.filter(own, lambda e: b.bitwiseAND(e.ends.bitwiseOR(e.inner)) == e.ends), lambda e: e.token)
+
+    def walk(own: Column) -> Column:
+        return F.aggregate(own, begin, lambda b, e: F.when(able(b, e), b.bitwiseAND(F.bitwise_not(e.inner))).otherwise(b), lambda b: tokens(own, b))
+
+    def steps(own: Column) -> Column:
+        first = lambda b: F.aggregate(own, F.lit(0).cast("long"), lambda a, e: F.when(a != 0, a).when(able(b, e), e.inner).otherwise(a))
+        return F.aggregate(F.sequence(F.lit(2), n), begin, lambda b, _: b.bitwiseAND(F.bitwise_not(first(b))), lambda b: tokens(own, b))
+
+    plain = F.sort_array(F.transform(edges, lambda e: e.withField("key", e.key.bitwiseAND(F.lit(odd - 1)))))
+    return let(F.sort_array(edges), lambda own: F.when(F.element_at(own, -1).key < odd, walk(own)).otherwise(let(plain, steps)))
+
+
 def encoded_stretches(stretches: DataFrame, pieces: Pieces) -> DataFrame:
-    """stretch and ids of each distinct string of the column `stretch`; -1 - c for a character c without a piece."""
+    """stretch and ids of distinct strings of the column `stretch`; -1 - c for a character c without a piece.
+
+    For a table made by merges ids are merged()'s tokens, and stretches in which nothing is merged have no row.
+    """
     edges = lattice(stretches, pieces)
-    grouped = edges.groupBy("stretch").agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"))
-    return grouped.select("stretch", viterbi(F.col("edges")).alias("ids"))
+    edge, fold = (merging_edge(), lambda e: merged(F.col("stretch"), e)) if pieces.merges else (F.struct("end", "start", "id", "score"), viterbi)
+    return edges.select("stretch", edge.alias("edge")).groupBy("stretch").agg(F.collect_list("edge").alias("edges")).select("stretch", fold(F.col("edges")).alias("ids"))
 
 
 def _spelt(flat: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """flat ids, `sizes` of them a stretch, with characters without a piece as byte pieces."""
+    """flat ids, `sizes` of them a stretch, with characters as their pieces or byte pieces."""
     codes, which = np.unique(flat[flat < 0], return_inverse=True)
     if not len(codes):
         return flat, sizes
@@ -213,37 +398,52 @@ def _spelt(flat: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     widths = np.array([len(x) for x in spelt])
     each = np.ones(len(flat), np.int64)
     each[flat < 0] = widths[which]
-    out, begin = np.repeat(flat, each), np.cumsum(each) - each
+    out = np.repeat(flat, each)
+    out[np.repeat(flat < 0, each)] = _ranges(np.concatenate(spelt).astype(np.int32), np.cumsum(widths) - widths, widths, which)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    own = np.flatnonzero(flat < 0)
-    for k, x in enumerate(spelt):
-        at = begin[own[which == k]]
-        for j, v in enumerate(x):
-            out[at + j] = v
     return out, np.bincount(owner, each, len(sizes)).astype(np.int64)
 
 
+def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the stretches one after the other, and how many each has; -1 - c for a character c."""
+    sizes = pc.utf8_length(stretches).to_numpy().astype(np.int64)
+    base = np.cumsum(sizes) - sizes
+    ids = -1 - np.frombuffer("".join(stretches.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)  # of each character, as if alone
+    number, lists = found.column("number").to_numpy(), found.column("ids").combine_chunks()
+    own, counts = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    widths = np.ones(len(pieces.surfaces), np.int64)
+    widths[[i for i, _ in pieces.scores.values()]] = [len(p) for p in pieces.scores]
+    if pieces.merges:
+        starts, own = own >> 32, own & 0xFFFFFFFF
+    else:
+        wide = np.where(own < 0, 1, widths[np.maximum(own, 0)])
+        whole = np.cumsum(wide) - wide
+        starts = whole - np.repeat(whole[np.minimum(np.cumsum(counts) - counts, len(whole) - 1)] if len(whole) else whole, counts)
+    at = np.repeat(base[number], counts) + starts
+    for k in np.flatnonzero(sizes > pieces.most).tolist():
+        more = np.array(pieces.segmented(stretches[k].as_py()), np.int64)
+        wide = np.where(more < 0, 1, widths[np.maximum(more, 0)])
+        own, at = np.concatenate([own, more]), np.concatenate([at, base[k] + np.cumsum(wide) - wide])
+    ids[at] = own
+    ends = np.bincount(at + np.where(own < 0, 1, widths[np.maximum(own, 0)]), minlength=len(ids) + 1)[: len(ids)]
+    covered = np.bincount(at + 1, minlength=len(ids) + 1)[: len(ids)] - ends  # after a token's first character +1, after its last -1
+    alone = np.cumsum(covered) == 0
+    return ids[alone], np.add.reduceat(alone.astype(np.int64), base) if len(base) else base
+
+
 def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
     """The ids of a chunk's documents."""
     rows = docs.filter(pc.is_valid(docs.column("ids")))
     head = docs.filter(pc.is_valid(docs.column("stretches")))
     if head.num_rows:
-        stretches = head.column("stretches").combine_chunks().values
-        found = found.combine_chunks()
-        number, lists = found.column("number").to_numpy(), found.column("ids").combine_chunks()
-        flat, own = lists.flatten().to_numpy().astype(np.int32), pc.list_value_length(lists).to_numpy()
-        long = np.flatnonzero(pc.utf8_length(stretches).to_numpy() > LONG)
-        more = [np.array(pieces.viterbi(stretches[int(k)].as_py()), np.int32) for k in long]
-        flat, own = np.concatenate([flat, *more]), np.concatenate([own, [len(m) for m in more]]).astype(np.int64)
-        flat, own = _spelt(flat, own, pieces)
-        place = np.empty(len(stretches), np.int64)
-        place[np.concatenate([number, long]).astype(np.int64)] = np.arange(len(own))
-        inner = place[np.frombuffer(head.column("inner")[0].as_py(), np.uint32)]
+        flat, own = _spelt(*_tokens(head.column("stretches").combine_chunks().values, found, pieces), pieces)
+        flat, begins = flat.astype(np.int32), np.cumsum(own) - own
+        inner = np.frombuffer(head.column("inner")[0].as_py(), np.uint32)
         lengths = np.frombuffer(head.column("lengths")[0].as_py(), np.uint32).astype(np.int64)
-        words = _ranges(flat, np.cumsum(own) - own, own, inner)
+        words = _ranges(flat, begins, own, inner)
         per_word = np.add.reduceat(own[inner], np.cumsum(lengths) - lengths)
         begins = np.cumsum(per_word) - per_word
-    out = [_ranges(words, begins, per_word, _unpacked(b)) if len(b) > 8 else np.zeros(0, np.int32) for b in rows.column("ids").to_pylist()]
+    out = [_ranges(words, begins, per_word, _unpacked(b.as_py())) if b.as_py() else np.zeros(0, np.int32) for b in rows.column("ids")]
     values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
     offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
     return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values)})
@@ -256,15 +456,15 @@ def _ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.n
     return flat[at]
 
 
-def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """One row per row of docs: doc_id and ids."""
+def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """One row per row of docs: doc_id and ids. chunk: bytes of text that number their words together."""
     pieces = Pieces.load(model)
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    cut = saved(own.mapInArrow(partial(_cut, joints=pieces.joints()), _ENCODED))
+    cut = saved_by(own.mapInArrow(partial(_cut, joints=frozenset(pieces.joints()), most=chunk), _ENCODED), "chunk", partitions(docs.sparkSession))
     places = cut.where("stretches IS NOT NULL").select(F.col("chunk").alias("to"), F.posexplode("stretches").alias("number", "stretch"))
-    places = places.where(F.length("stretch") <= LONG)
+    places = places.where(F.length("stretch").between(2 if pieces.merges else 1, pieces.most))
     known = encoded_stretches(places.select("stretch").distinct(), pieces)
-    found = places.join(known, "stretch").select("to", "number", "ids")
+    found = places.join(known.hint("merge"), "stretch").select("to", "number", "ids")
     return cut.groupBy("chunk").cogroup(found.groupBy("to")).applyInArrow(partial(_fold, pieces=pieces), "doc_id long, ids array<int>")
 
 
@@ -279,8 +479,14 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def _with_decoded(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+    widths = np.array([len(x) for x in pieces.surfaces])
+    whole, begins = np.frombuffer(b"".join(pieces.surfaces), np.uint8), np.cumsum(widths) - widths
     for batch in batches:
-        digests = [hashlib.sha256(pieces.decode(i.as_py() or []).encode()).hexdigest() for i in batch.column(1)]  # a row's ids at a time
+        digests = []
+        for ids in batch.column(1):  # a row's ids at a time
+            text = _ranges(whole, begins, widths, ids.values.to_numpy()).tobytes() if ids.is_valid and len(ids.values) else b""
+            text = text[1:] if text[:1] == b" " else text
+            digests.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
         yield pa.record_batch({"doc_id": batch.column(0), "ids": batch.column(1), "decoded_sha256": pa.array(digests, pa.string())})
 
 

@@ -368,6 +368,25 @@ def test_pieces(spark, docs, rows, empty, unigram):
     assert pieces.encoded(empty, path).count() == 0
 
 
+def test_ids_of_the_shipped_model_are_the_librarys(spark, rows):
+    """Ids by merges in Spark, by the heap and by the library are the same: for words, runs of spaces, long stretches, odd signs."""
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(14)
+    texts = [r[1] or "" for r in rows if r[0] is not None]
+    texts += ["  two  spaces \n new line ", " ", "    ", "a   b" + " " * 40 + "c ", "y" * 700 + " " + "xx" * 300, "tab\tand\r\nlines\n\n", "\u2581 of its own", "ñandú über 漢字漢字 🙂🙂 e\u0301 \u00a0x"]
+    texts += ["".join(rng.choices("thesation ing,ér", k=rng.randrange(1, 400))) for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (3, texts[3])], "doc_id long, text string").repartition(5)
+    got = pieces.encoded(docs, chunk=4000).collect()  # several chunks a partition
+    assert len(got) == len(texts) + 2
+    own = pieces.Pieces.load()
+    assert own.merges and own.odd() and all(set(p) == {pieces.SPACE} for p in own.odd())
+    for r in got:
+        assert list(r.ids) == library.encode("" if r.doc_id is None else texts[r.doc_id]), r.doc_id
+    for t in texts[-200:]:
+        if "  " not in t:
+            assert own.spelt(own.merged((" " + t).replace(" ", pieces.SPACE))) == library.encode(t)
+
+
 def test_sentencepiece_query_decodes(spark, docs, rows, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op3_sentencepiece(spark, str(tmp_path)).select("doc_id", "decoded_sha256").collect()
