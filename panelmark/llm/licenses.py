@@ -22,7 +22,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import text_of
+from panelmark.llm.common import saved, text_of
 from panelmark.llm.minhash import let
 
 SHINGLE, LEAST, MISS = 5, 0.8, 1e-4
@@ -128,9 +128,11 @@ def scanned(docs: DataFrame, pairs: Sequence[tuple[str, str]] = TEMPLATES) -> Da
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("row", F.monotonically_increasing_id())
     own = own.where(F.arrays_overlap(shingle_hashes(words_of(F.col("text"))), every))
     own = own.withColumn("words", words_of(F.col("text"))).withColumn("hashes", shingle_hashes(F.col("words"))).drop("text")
+    own = saved(own)  # texts are read once for all classes, and a row's number is the same wherever it is used
     classes: dict[tuple[int, int, int], list] = {}
     for t in known:
         classes.setdefault(window_of(len(t.hashes)), []).append(t)
+
     def values(width: int, step: int):
         """A band's value of each window; one band's hashes are held at a time."""
         starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)), F.lit(step))
