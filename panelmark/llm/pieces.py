@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text that number their words together, and bytes that are cut into words at once (more if one text has more).
-CHUNK, SLICE = 1 << 24, 1 << 21
+CHUNK, SLICE = 1 << 25, 1 << 21
 #: Characters of a stretch that is folded in Spark: by Viterbi; by merges, where all borders fit one long.
 LONG, LONG_MERGED = 512, 61
 #: Bits of an edge's key below the one that says that its piece is odd(): its rank, first character and length.
@@ -174,32 +173,34 @@ class Pieces:
     def segmented(self, stretch: str) -> list[int]:
         return self.merged(stretch) if self.merges else self.viterbi(stretch)
 
+    def ids_of(self, token: str) -> list[int]:
+        """The id of a piece, else the byte pieces of a character."""
+        found = self.scores.get(token)
+        return [found[0]] if found else [self.bytes_[b] for b in token.encode("utf-8", "surrogatepass")]
+
     def spelt(self, ids: list[int]) -> list[int]:
         """ids with characters as their pieces, or byte pieces where they have none."""
-        return [j for i in ids for j in ([i] if i >= 0 else [self.scores[chr(-1 - i)][0]] if chr(-1 - i) in self.scores else [self.bytes_[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
+        return [j for i in ids for j in ([i] if i >= 0 else self.ids_of(chr(-1 - i)))]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.surfaces[i] for i in ids])
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
-class _Numbers(dict):
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 _ENCODED = "chunk long, doc_id long, ids binary, lengths binary, inner binary, stretches array<string>"
-_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("inner", pa.binary()), ("stretches", pa.list_(pa.string()))])
+_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("inner", pa.binary()), ("stretches", pa.list_(pa.large_string()))])
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Bytes of one rank together, compressed: what is stored is about as long as the text compressed."""
-    return zlib.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """How many, then their bytes of one rank together, compressed: what is stored is about as long as the text compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(_CODEC.decompress(data[4:], 4 * n, asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
 
 
 def _offsets(strings: pa.Array) -> np.ndarray:
@@ -266,33 +267,42 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 
 
 def _cut(batches: Iterator[pa.RecordBatch], joints: frozenset[str], most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """A row a document with its words' numbers, and last for each chunk a row with its words' stretches."""
-    chunk, words, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, _Numbers(), 0
-
-    def vocabulary() -> pa.RecordBatch:
-        stretches, lengths = stretches_of(pa.array(list(words), pa.large_string()), joints)
-        coded = stretches.dictionary_encode()
-        inner = coded.indices.to_numpy().astype(np.uint32)
-        return pa.record_batch([[chunk], [None], [None], [lengths.astype(np.uint32).tobytes()], [inner.tobytes()], pa.array([coded.dictionary.cast(pa.string()).to_pylist()], pa.list_(pa.string()))], schema=_SCHEMA)
+    """For each chunk a row a document with its words' numbers, and a row with its words' stretches."""
+    chunk, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, 0
+    doc_ids: list[pa.Array] = []
+    counts: list[np.ndarray] = []
+    words: list[pa.DictionaryArray] = []
+
+    def numbered() -> Iterator[pa.RecordBatch]:
+        whole = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries().combine_chunks()
+        numbers, n = whole.indices.to_numpy().astype(np.uint32), np.concatenate(counts)
+        ends = np.cumsum(n)
+        ids = [_packed(numbers[a:b]) if b > a else b"" for a, b in zip((ends - n).tolist(), ends.tolist())]
+        none = pa.nulls(len(ids))
+        yield pa.record_batch([pa.array(np.full(len(ids), chunk)), pa.concat_arrays(doc_ids), pa.array(ids, pa.binary()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(_SCHEMA.field("stretches").type)], schema=_SCHEMA)
+        if len(whole.dictionary):
+            stretches, lengths = stretches_of(whole.dictionary, joints)
+            coded = stretches.dictionary_encode()
+            inner = coded.indices.to_numpy().astype(np.uint32)  # mostly the next number that is new
+            one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            yield pa.record_batch([[chunk], pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [_packed(lengths)], [_packed(np.diff(inner, prepend=np.uint32(0)))], one], schema=_SCHEMA)
 
     for batch in _slices(batches, min(SLICE, most)):
         texts = batch.column(1).fill_null("")
         there = pc.not_equal(pc.binary_length(texts), 0)
-        found, n = [], np.zeros(len(texts), np.int64)
+        n = np.zeros(len(texts), np.int64)
         if pc.any(there).as_py():
             own, n[there.to_numpy(zero_copy_only=False)] = words_of(texts.filter(there))
-            coded = own.dictionary_encode()
-            numbers = np.fromiter(map(words.__getitem__, coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary))
-            found = np.split(numbers[coded.indices.to_numpy()], np.cumsum(n)[:-1])
-        ids = [_packed(x) if len(x) else b"" for x in found] if len(found) else [b""] * len(texts)
-        nothing = [None] * len(texts)
-        yield pa.record_batch([[chunk] * len(texts), batch.column(0), ids, nothing, nothing, nothing], schema=_SCHEMA)
+            words.append(own.dictionary_encode())
+        doc_ids.append(batch.column(0))
+        counts.append(n)
         size += pc.sum(pc.binary_length(texts)).as_py() or 0
         if size > most:
-            yield vocabulary()
-            chunk, words, size = chunk + 1, _Numbers(), 0
-    if words:
-        yield vocabulary()
+            yield from numbered()
+            chunk, size = chunk + 1, 0
+            doc_ids, counts, words = [], [], []
+    if doc_ids:
+        yield from numbered()
 
 
 def lattice(stretches: DataFrame, pieces: Pieces) -> DataFrame:
@@ -347,33 +357,30 @@ ODD_BIT = RANK_BITS + START_BITS + LENGTH_BITS
 
 def merging_edge() -> Column:
     """An edge of a stretch of at most LONG_MERGED characters: a key, whose order is by odd, rank, then start, the bits of its ends and of
-    the borders that can lie between them, and its start and id in one long."""
+    the borders that can lie between them."""
     up = lambda x, n: F.call_function("shiftleft", x, n)
     key, length, one = F.col("odd").cast("long"), F.col("end") - F.col("start"), F.lit(1).cast("long")
     for part, bits in ((F.col("rank"), RANK_BITS), (F.col("start"), START_BITS), (length, LENGTH_BITS)):
         key = F.shiftleft(key, bits).bitwiseOR(part.cast("long"))
-    token = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("id").cast("long"))
-    return F.struct(key.alias("key"), up(up(one, length) + 1, F.col("start")).alias("ends"), up(up(one, length) - 2, F.col("start")).alias("inner"), token.alias("token"))
+    return F.struct(key.alias("key"), up(up(one, length) + 1, F.col("start")).alias("ends"), up(up(one, length) - 2, F.col("start")).alias("inner"))
 
 
 def merged(stretch: Column, edges: Column) -> Column:
-    """Folds merging_edge()s to the tokens of several characters that merging gives, each as its start and id in one long.
+    """Folds merging_edge()s to the borders between the tokens that merging gives, a long with a bit for each.
 
-    The state is a long with a bit for every border between tokens. An edge can be merged when both its ends are borders and
-    exactly one border is inside, which goes. Without an odd() piece one walk over the edges by rank and start does all merges in
-    their order; with one, each step looks for the first edge that can be merged.
+    An edge can be merged when both its ends are borders and exactly one border is inside, which goes. Without an odd() piece one
+    walk over the edges by rank and start does all merges in their order; with one, each step looks for the first edge that can be merged.
     """
     n, one, odd = F.length(stretch), F.lit(1).cast("long"), 1 << ODD_BIT
     begin = F.call_function("shiftleft", one, n + 1) - 1
     able = lambda b, e: (b.bitwiseAND(e.ends) == e.ends) & (F.bit_count(b.bitwiseAND(e.inner)) == 1)
-    tokens = lambda own, b: F.transform(F.filter(own, lambda e: b.bitwiseAND(e.ends.bitwiseOR(e.inner)) == e.ends), lambda e: e.token)
 
     def walk(own: Column) -> Column:
-        return F.aggregate(own, begin, lambda b, e: F.when(able(b, e), b.bitwiseAND(F.bitwise_not(e.inner))).otherwise(b), lambda b: tokens(own, b))
+        return F.aggregate(own, begin, lambda b, e: F.when(able(b, e), b.bitwiseAND(F.bitwise_not(e.inner))).otherwise(b))
 
     def steps(own: Column) -> Column:
         first = lambda b: F.aggregate(own, F.lit(0).cast("long"), lambda a, e: F.when(a != 0, a).when(able(b, e), e.inner).otherwise(a))
-        return F.aggregate(F.sequence(F.lit(2), n), begin, lambda b, _: b.bitwiseAND(F.bitwise_not(first(b))), lambda b: tokens(own, b))
+        return F.aggregate(F.sequence(F.lit(2), n), begin, lambda b, _: b.bitwiseAND(F.bitwise_not(first(b))))
 
     plain = F.sort_array(F.transform(edges, lambda e: e.withField("key", e.key.bitwiseAND(F.lit(odd - 1)))))
     return let(F.sort_array(edges), lambda own: F.when(F.element_at(own, -1).key < odd, walk(own)).otherwise(let(plain, steps)))
@@ -382,53 +389,41 @@ def merged(stretch: Column, edges: Column) -> Column:
 def encoded_stretches(stretches: DataFrame, pieces: Pieces) -> DataFrame:
     """stretch and ids of distinct strings of the column `stretch`; -1 - c for a character c without a piece.
 
-    For a table made by merges ids are merged()'s tokens, and stretches in which nothing is merged have no row.
+    For a table made by merges, stretch and merged()'s borders; stretches in which nothing is merged have no row.
     """
     edges = lattice(stretches, pieces)
-    edge, fold = (merging_edge(), lambda e: merged(F.col("stretch"), e)) if pieces.merges else (F.struct("end", "start", "id", "score"), viterbi)
-    return edges.select("stretch", edge.alias("edge")).groupBy("stretch").agg(F.collect_list("edge").alias("edges")).select("stretch", fold(F.col("edges")).alias("ids"))
-
-
-def _spelt(flat: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """flat ids, `sizes` of them a stretch, with characters as their pieces or byte pieces."""
-    codes, which = np.unique(flat[flat < 0], return_inverse=True)
-    if not len(codes):
-        return flat, sizes
-    spelt = [pieces.spelt([int(c)]) for c in codes]
-    widths = np.array([len(x) for x in spelt])
-    each = np.ones(len(flat), np.int64)
-    each[flat < 0] = widths[which]
-    out = np.repeat(flat, each)
-    out[np.repeat(flat < 0, each)] = _ranges(np.concatenate(spelt).astype(np.int32), np.cumsum(widths) - widths, widths, which)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    return out, np.bincount(owner, each, len(sizes)).astype(np.int64)
+    edge, fold = (merging_edge(), merged(F.col("stretch"), F.col("edges")).alias("borders")) if pieces.merges else (F.struct("end", "start", "id", "score"), viterbi(F.col("edges")).alias("ids"))
+    return edges.select("stretch", edge.alias("edge")).groupBy("stretch").agg(F.collect_list("edge").alias("edges")).select("stretch", fold)
 
 
 def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the stretches one after the other, and how many each has; -1 - c for a character c."""
-    sizes = pc.utf8_length(stretches).to_numpy().astype(np.int64)
-    base = np.cumsum(sizes) - sizes
-    ids = -1 - np.frombuffer("".join(stretches.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)  # of each character, as if alone
-    number, lists = found.column("number").to_numpy(), found.column("ids").combine_chunks()
-    own, counts = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    """The ids of the stretches one after the other, and how many each has."""
+    offsets, data = _offsets(stretches), stretches.buffers()[2]
+    at = np.flatnonzero((np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] & 0xC0) != 0x80) + offsets[0]  # where characters begin
+    first = np.searchsorted(at, offsets[:-1])
+    sizes = np.diff(np.r_[first, len(at)])
     widths = np.ones(len(pieces.surfaces), np.int64)
     widths[[i for i, _ in pieces.scores.values()]] = [len(p) for p in pieces.scores]
+    number = found.column("number").to_numpy()
+    begins = np.ones(len(at), bool)  # whether a token begins at a character
     if pieces.merges:
-        starts, own = own >> 32, own & 0xFFFFFFFF
+        borders = np.full(len(stretches), -1)
+        borders[number] = found.column("borders").to_numpy()
+        begins = np.repeat(borders, sizes) >> np.minimum(np.arange(len(at)) - np.repeat(first, sizes), 63) & 1 == 1
     else:
-        wide = np.where(own < 0, 1, widths[np.maximum(own, 0)])
-        whole = np.cumsum(wide) - wide
-        starts = whole - np.repeat(whole[np.minimum(np.cumsum(counts) - counts, len(whole) - 1)] if len(whole) else whole, counts)
-    at = np.repeat(base[number], counts) + starts
+        lists = found.column("ids").combine_chunks()
+        for k, ids in zip(number.tolist(), np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])):
+            begins[first[k] : first[k] + sizes[k]] = False
+            begins[first[k] + np.cumsum(np.r_[0, np.where(ids < 0, 1, widths[np.maximum(ids, 0)])[:-1]])] = True
     for k in np.flatnonzero(sizes > pieces.most).tolist():
-        more = np.array(pieces.segmented(stretches[k].as_py()), np.int64)
-        wide = np.where(more < 0, 1, widths[np.maximum(more, 0)])
-        own, at = np.concatenate([own, more]), np.concatenate([at, base[k] + np.cumsum(wide) - wide])
-    ids[at] = own
-    ends = np.bincount(at + np.where(own < 0, 1, widths[np.maximum(own, 0)]), minlength=len(ids) + 1)[: len(ids)]
-    covered = np.bincount(at + 1, minlength=len(ids) + 1)[: len(ids)] - ends  # after a token's first character +1, after its last -1
-    alone = np.cumsum(covered) == 0
-    return ids[alone], np.add.reduceat(alone.astype(np.int64), base) if len(base) else base
+        ids = np.array(pieces.segmented(stretches[k].as_py()))
+        begins[first[k] : first[k] + sizes[k]] = False
+        begins[first[k] + np.cumsum(np.r_[0, np.where(ids < 0, 1, widths[np.maximum(ids, 0)])[:-1]])] = True
+    coded = _strings(np.r_[at[begins], offsets[-1]], data).dictionary_encode()
+    of = [pieces.ids_of(t) for t in coded.dictionary.to_pylist()]
+    own, which = np.array([len(x) for x in of]), coded.indices.to_numpy()
+    flat = _ranges(np.concatenate(of).astype(np.int32), np.cumsum(own) - own, own, which)
+    return flat, np.add.reduceat(own[which], np.cumsum(begins)[first] - 1)
 
 
 def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
@@ -436,11 +431,10 @@ def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
     rows = docs.filter(pc.is_valid(docs.column("ids")))
     head = docs.filter(pc.is_valid(docs.column("stretches")))
     if head.num_rows:
-        flat, own = _spelt(*_tokens(head.column("stretches").combine_chunks().values, found, pieces), pieces)
-        flat, begins = flat.astype(np.int32), np.cumsum(own) - own
-        inner = np.frombuffer(head.column("inner")[0].as_py(), np.uint32)
-        lengths = np.frombuffer(head.column("lengths")[0].as_py(), np.uint32).astype(np.int64)
-        words = _ranges(flat, begins, own, inner)
+        flat, own = _tokens(head.column("stretches").combine_chunks().flatten().cast(pa.large_string()), found, pieces)
+        inner = np.cumsum(_unpacked(head.column("inner")[0].as_py()), dtype=np.uint32)
+        lengths = _unpacked(head.column("lengths")[0].as_py()).astype(np.int64)
+        words = _ranges(flat, np.cumsum(own) - own, own, inner)
         per_word = np.add.reduceat(own[inner], np.cumsum(lengths) - lengths)
         begins = np.cumsum(per_word) - per_word
     out = [_ranges(words, begins, per_word, _unpacked(b.as_py())) if b.as_py() else np.zeros(0, np.int32) for b in rows.column("ids")]
@@ -462,9 +456,11 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     cut = saved_by(own.mapInArrow(partial(_cut, joints=frozenset(pieces.joints()), most=chunk), _ENCODED), "chunk", partitions(docs.sparkSession))
     places = cut.where("stretches IS NOT NULL").select(F.col("chunk").alias("to"), F.posexplode("stretches").alias("number", "stretch"))
-    places = places.where(F.length("stretch").between(2 if pieces.merges else 1, pieces.most))
-    known = encoded_stretches(places.select("stretch").distinct(), pieces)
-    found = places.join(known.hint("merge"), "stretch").select("to", "number", "ids")
+    places = places.where(F.length("stretch").between(2 if pieces.merges else 1, pieces.most)).repartition(partitions(docs.sparkSession), "stretch")  # dealt once, for the next two
+    # a place is asked for so that both uses read the same columns, which lets Spark deal them once
+    distinct = places.groupBy("stretch").agg(F.max(F.xxhash64("to", "number")).alias("place")).where("place IS NOT NULL").select("stretch")
+    known = encoded_stretches(distinct, pieces)
+    found = places.join(known.hint("merge"), "stretch").drop("stretch")
     return cut.groupBy("chunk").cogroup(found.groupBy("to")).applyInArrow(partial(_fold, pieces=pieces), "doc_id long, ids array<int>")
 
 
