@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmark.llm.common import checked, no_space, saved, text_of
@@ -38,17 +38,29 @@ class CountingQuotientFilter:
         fingerprints, counts = fingerprints[order], counts[order]
         starts = np.flatnonzero(np.r_[True, fingerprints[1:] != fingerprints[:-1]]) if len(fingerprints) else np.zeros(0, np.int64)
         counts = np.add.reduceat(counts, starts) if len(starts) else counts
-        fingerprints = fingerprints[starts]
-        low = np.uint64(64 - QUOTIENT_BITS)
-        quotients, runs = np.unique(fingerprints >> low, return_counts=True)
-        return cls(quotients.astype("<u4"), runs.astype("<u4"), (fingerprints & ((np.uint64(1) << low) - np.uint64(1))).astype("<u8"), counts.astype("<u8"))
+        return cls._of_sorted(fingerprints[starts], counts)
 
     def fingerprints(self) -> np.ndarray:
         return np.repeat(self.quotients.astype(np.uint64), self.runs) << np.uint64(64 - QUOTIENT_BITS) | self.remainders
 
-    def merged(self, *others: CountingQuotientFilter) -> CountingQuotientFilter:
-        both = (self, *others)
-        return self.of(np.concatenate([f.fingerprints() for f in both]), np.concatenate([f.counts for f in both]))
+    def merged(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters' remainders in their order, quotient by quotient; counts of equal ones add up. Neither is sorted again."""
+        own, new, counts = self.fingerprints(), other.fingerprints(), self.counts.copy()
+        at = np.searchsorted(own, new)
+        there = at < len(own)
+        there[there] = own[at[there]] == new[there]
+        counts[at[there]] += other.counts[there]
+        own, counts = np.insert(own, at[~there], new[~there]), np.insert(counts, at[~there], other.counts[~there])
+        return self._of_sorted(own, counts)
+
+    @classmethod
+    def _of_sorted(cls, fingerprints: np.ndarray, counts: np.ndarray) -> CountingQuotientFilter:
+        """Of distinct fingerprints in order."""
+        low = np.uint64(64 - QUOTIENT_BITS)
+        high = fingerprints >> low
+        starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]]) if len(high) else np.zeros(0, np.int64)
+        runs = np.diff(np.r_[starts, len(high)])
+        return cls(high[starts].astype("<u4"), runs.astype("<u4"), (fingerprints & ((np.uint64(1) << low) - np.uint64(1))).astype("<u8"), counts.astype("<u8"))
 
     def to_bytes(self) -> bytes:
         sizes = np.array([len(self.quotients), len(self.remainders)], "<u8")
@@ -82,8 +94,10 @@ def _filters(batches: Iterator[pa.RecordBatch], shard_bits: int) -> Iterator[pa.
 
 
 def _repeated(parts: pa.Table) -> pa.Table:
-    first, *rest = (CountingQuotientFilter.from_bytes(x) for x in parts.column("filter").to_pylist())
-    whole = first.merged(*rest)
+    own = [CountingQuotientFilter.from_bytes(x) for x in parts.column("filter").to_pylist()]
+    while len(own) > 1:  # two at a time, so that each fingerprint is copied as often as the number of filters can be halved
+        own = [a.merged(*b) for a, *b in (own[i : i + 2] for i in range(0, len(own), 2)) if b] + (own[-1:] if len(own) % 2 else [])
+    whole = own[0]
     again = whole.fingerprints()[whole.counts > 1].view(np.int64)
     return pa.table({"fp": pa.array(again, pa.int64())})
 
@@ -99,7 +113,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and n_chars (code points)."""
     text = text_of()
     whole = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), no_space(text).alias("norm"))
-    prints = saved(whole.select("doc_id", "n_chars", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256")))
+    prints = saved(whole.select("doc_id", "n_chars", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
     again = saved(repeated_fingerprints(prints.select("fp"), prints.count()))
     routed = whole.withColumn("fp", F.xxhash64("norm")).join(checked(again, BROADCAST_ROWS), "fp", "left_semi")
     classes = (
@@ -107,14 +121,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus"))).alias("best"))
         .select(F.sha2("norm", 256).alias("text_sha256"), "group_size", F.col("best.n_chars").alias("keep_chars"), (-F.col("best.minus")).alias("class_keep"))
     )
-    joined = prints.join(classes, "text_sha256", "left")
-    keeper = F.col("group_size").isNull() | (F.col("n_chars") == F.col("keep_chars")) & F.col("doc_id").eqNullSafe(F.col("class_keep"))
-    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256", "n_chars", F.when(F.col("doc_id").isNull() & ~F.col("keeper"), F.rand(9))).orderBy(F.lit(1))) == 1
-    return joined.withColumn("keeper", keeper).select(
+    # of repeated rows that could stay the one with the least number does; partial sums first, so that no task gathers a class
+    able = (F.col("n_chars") == F.col("keep_chars")) & F.col("doc_id").eqNullSafe(F.col("class_keep"))
+    known = prints.join(checked(saved(classes), BROADCAST_ROWS), "text_sha256").where(able)
+    known = known.groupBy("text_sha256").agg(F.min("row").alias("keep_row"), F.first("group_size").alias("group_size"), F.first("class_keep").alias("class_keep"))
+    joined = prints.join(checked(saved(known), BROADCAST_ROWS), "text_sha256", "left")
+    return joined.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("class_keep")).alias("keep_id"),
+        F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("class_keep")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("keeper") & first).alias("kept"),
+        (F.col("keep_row").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
         "n_chars",
     )
