@@ -40,7 +40,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text that number their words together, and bytes that are cut into words at once (more if one text has more).
-CHUNK, SLICE = 1 << 25, 1 << 21
+CHUNK, SLICE = 1 << 25, 1 << 20
+#: Words or stretches that are worked on at once in what has some bytes for each character.
+SOME = 1 << 15
 #: Characters of a stretch that is folded in Spark: by Viterbi; by merges, where all borders fit one long.
 LONG, LONG_MERGED = 512, 61
 #: Bits of an edge's key below the one that says that its piece is odd(): its rank, first character and length.
@@ -256,6 +258,13 @@ def stretches_of(words: pa.Array, joints: frozenset[str]) -> tuple[pa.Array, np.
     return _strings(np.r_[at[begins], offsets[-1]].astype(np.int64), data), counts
 
 
+def _unified(parts: list[pa.DictionaryArray]) -> tuple[list[np.ndarray], pa.Array]:
+    """The parts' numbers in a dictionary that they share, in which new strings come after those before, and that dictionary."""
+    whole = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries()
+    own = [c.indices.to_numpy().view(np.uint32) for c in whole.chunks]
+    return own, whole.chunk(0).dictionary if whole.num_chunks else pa.array([], pa.large_string())
+
+
 def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about `most` bytes of their second column."""
     for batch in batches:
@@ -274,18 +283,21 @@ def _cut(batches: Iterator[pa.RecordBatch], joints: frozenset[str], most: int =
     words: list[pa.DictionaryArray] = []
 
     def numbered() -> Iterator[pa.RecordBatch]:
-        whole = pa.chunked_array(words, pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries().combine_chunks()
-        numbers, n = whole.indices.to_numpy().astype(np.uint32), np.concatenate(counts)
-        ends = np.cumsum(n)
-        ids = [_packed(numbers[a:b]) if b > a else b"" for a, b in zip((ends - n).tolist(), ends.tolist())]
-        none = pa.nulls(len(ids))
-        yield pa.record_batch([pa.array(np.full(len(ids), chunk)), pa.concat_arrays(doc_ids), pa.array(ids, pa.binary()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(_SCHEMA.field("stretches").type)], schema=_SCHEMA)
-        if len(whole.dictionary):
-            stretches, lengths = stretches_of(whole.dictionary, joints)
-            coded = stretches.dictionary_encode()
-            inner = coded.indices.to_numpy().astype(np.uint32)  # mostly the next number that is new
-            one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-            yield pa.record_batch([[chunk], pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [_packed(lengths)], [_packed(np.diff(inner, prepend=np.uint32(0)))], one], schema=_SCHEMA)
+        numbers, vocabulary = _unified(words)
+        words.clear()
+        own = iter(numbers)
+        for docs, n in zip(doc_ids, counts):
+            ends = np.cumsum(n)
+            flat = next(own) if n.any() else None  # of a slice without words nothing was kept
+            ids = [_packed(flat[a:b]) if b > a else b"" for a, b in zip((ends - n).tolist(), ends.tolist())]
+            none = pa.nulls(len(ids))
+            yield pa.record_batch([pa.array(np.full(len(ids), chunk)), docs, pa.array(ids, pa.binary()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(_SCHEMA.field("stretches").type)], schema=_SCHEMA)
+        if len(vocabulary):
+            parts, lengths = zip(*(stretches_of(vocabulary[i : i + SOME], joints) for i in range(0, len(vocabulary), SOME)))
+            inner, stretches = _unified([x.dictionary_encode() for x in parts])
+            one = pa.ListArray.from_arrays(pa.array([0, len(stretches)], pa.int32()), stretches)
+            inner = np.diff(np.concatenate(inner), prepend=np.uint32(0))  # mostly one more than before: the next that is new
+            yield pa.record_batch([[chunk], pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [_packed(np.concatenate(lengths))], [_packed(inner)], one], schema=_SCHEMA)
 
     for batch in _slices(batches, min(SLICE, most)):
         texts = batch.column(1).fill_null("")
@@ -396,34 +408,49 @@ def encoded_stretches(stretches: DataFrame, pieces: Pieces) -> DataFrame:
     return edges.select("stretch", edge.alias("edge")).groupBy("stretch").agg(F.collect_list("edge").alias("edges")).select("stretch", fold)
 
 
-def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the stretches one after the other, and how many each has."""
-    offsets, data = _offsets(stretches), stretches.buffers()[2]
-    at = np.flatnonzero((np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] & 0xC0) != 0x80) + offsets[0]  # where characters begin
-    first = np.searchsorted(at, offsets[:-1])
-    sizes = np.diff(np.r_[first, len(at)])
+def _begins(first: np.ndarray, sizes: np.ndarray, found: pa.Table, stretches: pa.Array, pieces: Pieces) -> np.ndarray:
+    """Whether a token begins at a character, for all characters of the stretches."""
+    begins = np.ones(int(sizes.sum()), bool)
     widths = np.ones(len(pieces.surfaces), np.int64)
     widths[[i for i, _ in pieces.scores.values()]] = [len(p) for p in pieces.scores]
     number = found.column("number").to_numpy()
-    begins = np.ones(len(at), bool)  # whether a token begins at a character
+
+    def put(k: int, ids: np.ndarray) -> None:
+        begins[first[k] : first[k] + sizes[k]] = False
+        begins[first[k] + np.cumsum(np.r_[0, np.where(ids < 0, 1, widths[np.maximum(ids, 0)])[:-1]])] = True
+
     if pieces.merges:
-        borders = np.full(len(stretches), -1)
+        borders = np.full(len(sizes), -1)
         borders[number] = found.column("borders").to_numpy()
-        begins = np.repeat(borders, sizes) >> np.minimum(np.arange(len(at)) - np.repeat(first, sizes), 63) & 1 == 1
+        for a in range(0, len(sizes), SOME):
+            n = sizes[a : a + SOME]
+            place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            begins[first[a] : first[a] + len(place)] = np.repeat(borders[a : a + SOME], n) >> np.minimum(place, 63) & 1 == 1
     else:
         lists = found.column("ids").combine_chunks()
         for k, ids in zip(number.tolist(), np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])):
-            begins[first[k] : first[k] + sizes[k]] = False
-            begins[first[k] + np.cumsum(np.r_[0, np.where(ids < 0, 1, widths[np.maximum(ids, 0)])[:-1]])] = True
+            put(k, ids)
     for k in np.flatnonzero(sizes > pieces.most).tolist():
-        ids = np.array(pieces.segmented(stretches[k].as_py()))
-        begins[first[k] : first[k] + sizes[k]] = False
-        begins[first[k] + np.cumsum(np.r_[0, np.where(ids < 0, 1, widths[np.maximum(ids, 0)])[:-1]])] = True
-    coded = _strings(np.r_[at[begins], offsets[-1]], data).dictionary_encode()
-    of = [pieces.ids_of(t) for t in coded.dictionary.to_pylist()]
-    own, which = np.array([len(x) for x in of]), coded.indices.to_numpy()
-    flat = _ranges(np.concatenate(of).astype(np.int32), np.cumsum(own) - own, own, which)
-    return flat, np.add.reduceat(own[which], np.cumsum(begins)[first] - 1)
+        put(k, np.array(pieces.segmented(stretches[k].as_py())))
+    return begins
+
+
+def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the stretches one after the other, and how many each has."""
+    sizes = pc.utf8_length(stretches).to_numpy().astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    begins = _begins(first, sizes, found, stretches, pieces)
+    flat, counts, known = [], [], {}
+    for a in range(0, len(sizes), SOME):
+        own, data = _offsets(stretches[a : a + SOME]), stretches.buffers()[2]
+        at = np.flatnonzero((np.frombuffer(data, np.uint8)[own[0] : own[-1]] & 0xC0) != 0x80) + own[0]  # where characters begin
+        here = begins[first[a] : first[a] + len(at)]
+        coded = _strings(np.r_[at[here], own[-1]], data).dictionary_encode()
+        of = [known[t] if t in known else known.setdefault(t, pieces.ids_of(t)) for t in coded.dictionary.to_pylist()]
+        width, which = np.array([len(x) for x in of]), coded.indices.to_numpy()
+        flat.append(_ranges(np.concatenate(of).astype(np.int32), np.cumsum(width) - width, width, which))
+        counts.append(np.add.reduceat(width[which], np.cumsum(here)[first[a : a + SOME] - first[a]] - 1))
+    return np.concatenate(flat), np.concatenate(counts)
 
 
 def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
@@ -437,10 +464,15 @@ def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
         words = _ranges(flat, np.cumsum(own) - own, own, inner)
         per_word = np.add.reduceat(own[inner], np.cumsum(lengths) - lengths)
         begins = np.cumsum(per_word) - per_word
-    out = [_ranges(words, begins, per_word, _unpacked(b.as_py())) if b.as_py() else np.zeros(0, np.int32) for b in rows.column("ids")]
-    values = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-    offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
-    return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values)})
+        del flat, own, inner, lengths
+    n = np.array([per_word[_unpacked(b.as_py())].sum() if b.as_py() else 0 for b in rows.column("ids")], np.int64)
+    ends = np.cumsum(n)
+    values = np.empty(int(n.sum()), np.int32)
+    for b, first, end in zip(rows.column("ids"), (ends - n).tolist(), ends.tolist()):
+        if end > first:
+            values[first:end] = _ranges(words, begins, per_word, _unpacked(b.as_py()))
+    offsets = pa.array(np.r_[0, ends].astype(np.int32))
+    return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(values))})
 
 
 def _ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
