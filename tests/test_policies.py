@@ -19,7 +19,7 @@ def test_every_code_of_the_table_has_its_category(spark):
     codes = [c for c in elements.CATEGORY_OF if not c[-1].isdigit() and c[-1] not in "BV"]  # the others lose their last sign
     assert rows_of(spark, elements.category, codes) == [elements.CATEGORY_OF[c] for c in codes]
     assert rows_of(spark, elements.category, [c + "4" for c in codes]) == [elements.CATEGORY_OF[c] for c in codes]
-    assert rows_of(spark, elements.category, ["OFSt+OFStMb2", "PStL+PStM", "SlLi4+RoLi4*", "4Wz", "1Sq2Se", "aSP3V", "A+2x", "zzz"]) == ["Step Sequence", "Step Sequence", "Lift", "Jump", "Pattern dance", "aSP3", "Jump", "zzz"]
+    assert rows_of(spark, elements.category, ["OFSt+OFStMb2", "PStL+PStM", "SlLi4+RoLi4*", "4Wz", "GW1Sq2Se", "aSP3V", "A+2x", "zzz"]) == ["Step Sequence", "Step Sequence", "Lift", "Jump", "Pattern dance", "aSP3", "Jump", "zzz"]
 
 
 def test_persons(spark):
@@ -75,7 +75,7 @@ def test_compared_pools_against_all_pairs(spark):
 def test_trends(spark):
     years = spark.createDataFrame([(1, 2000 + i, v) for i, v in enumerate([1.0, 2.0, 2.5, 4.5])] + [(2, 2000, 1.0), (3, 2000, 1.0), (3, 2001, 1.0), (3, 2002, 1.0)], "j int, season_start int, value double")
     got = {r.j: r for r in choices.trends(years, "j").collect()}
-    assert abs(got[1].slope - 1.1) < 1e-6 and abs(got[1].r - 0.967868) < 1e-5 and abs(got[1].p - 0.032132) < 1e-4
+    assert abs(got[1].slope - 1.1) < 1e-6 and abs(got[1].r - 0.964764) < 1e-5 and abs(got[1].p - 0.035236) < 1e-4
     assert got[2].p is None and got[3].p is None
 
 
