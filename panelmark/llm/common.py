@@ -35,7 +35,7 @@ def saved_by(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """As saved(), in buckets by column: what groups or joins by it needs no exchange of these rows."""
     spark = df.sparkSession
     name = f"saved_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     out = spark.table(name).select(*df.columns)
     spark.sql(f"DROP TABLE {name}")  # the name only: files of a table with a path stay, and out has its files already
     return out

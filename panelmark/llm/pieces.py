@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache, partial
 
@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelmark.llm.chunks import offsets_of, packed, slices, strings_of, unified, unpacked
 from panelmark.llm.common import partitions, saved_by, text_of
 from panelmark.llm.minhash import let
 
@@ -191,26 +192,6 @@ class Pieces:
 
 _ENCODED = "chunk long, doc_id long, ids binary, lengths binary, inner binary, stretches array<string>"
 _SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("inner", pa.binary()), ("stretches", pa.list_(pa.large_string()))])
-_CODEC = pa.Codec("zstd", compression_level=1)
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """How many, then their bytes of one rank together, compressed: what is stored is about as long as the text compressed."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(numbers).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    return np.frombuffer(_CODEC.decompress(data[4:], 4 * n, asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
-
-
-def _offsets(strings: pa.Array) -> np.ndarray:
-    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-
-
-def _strings(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
-    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), data)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -221,14 +202,14 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     split = pc.split_pattern(texts.cast(pa.large_string()), " ")
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     words = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), split.flatten(), pa.scalar("", pa.large_string()))
-    offsets = _offsets(words)
+    offsets = offsets_of(words)
     empty = np.diff(offsets) == len(SPACE.encode())
     if empty.any():  # what stands between two spaces goes to the word after it
         begins = np.cumsum(counts) - counts
         starts = np.r_[True, ~empty[:-1]]
         starts[begins] = True
         counts = np.add.reduceat(starts.astype(np.int64), begins)
-        words = _strings(np.r_[offsets[:-1][starts], offsets[-1]], words.buffers()[2])
+        words = strings_of(np.r_[offsets[:-1][starts], offsets[-1]], words.buffers()[2])
     return words, counts
 
 
@@ -246,7 +227,7 @@ def _classes(joints: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def stretches_of(words: pa.Array, joints: frozenset[str]) -> tuple[pa.Array, np.ndarray]:
     """The stretches of the words one after the other, and how many each word has."""
-    offsets, data = _offsets(words), words.buffers()[2]
+    offsets, data = offsets_of(words), words.buffers()[2]
     whole = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     of, table = _classes(joints)
     kind = of[np.frombuffer(whole.tobytes().decode().encode("utf-32-le"), np.uint32)]
@@ -255,24 +236,7 @@ def stretches_of(words: pa.Array, joints: frozenset[str]) -> tuple[pa.Array, np.
     first[np.searchsorted(at, offsets[:-1])] = True
     begins = first | np.r_[True, ~table[kind[:-1], kind[1:]]]
     counts = np.add.reduceat(begins.astype(np.int64), np.flatnonzero(first))
-    return _strings(np.r_[at[begins], offsets[-1]].astype(np.int64), data), counts
-
-
-def _unified(parts: list[pa.DictionaryArray]) -> tuple[list[np.ndarray], pa.Array]:
-    """The parts' numbers in a dictionary that they share, in which new strings come after those before, and that dictionary."""
-    whole = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.large_string())).unify_dictionaries()
-    own = [c.indices.to_numpy().view(np.uint32) for c in whole.chunks]
-    return own, whole.chunk(0).dictionary if whole.num_chunks else pa.array([], pa.large_string())
-
-
-def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about `most` bytes of their second column."""
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(sizes, dtype=np.int64) // most
-        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
-        for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
-            yield batch.slice(a, b - a)
+    return strings_of(np.r_[at[begins], offsets[-1]].astype(np.int64), data), counts
 
 
 def _cut(batches: Iterator[pa.RecordBatch], joints: frozenset[str], most: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -283,23 +247,23 @@ def _cut(batches: Iterator[pa.RecordBatch], joints: frozenset[str], most: int =
     words: list[pa.DictionaryArray] = []
 
     def numbered() -> Iterator[pa.RecordBatch]:
-        numbers, vocabulary = _unified(words)
+        numbers, vocabulary = unified(words)
         words.clear()
         own = iter(numbers)
         for docs, n in zip(doc_ids, counts):
             ends = np.cumsum(n)
             flat = next(own) if n.any() else None  # of a slice without words nothing was kept
-            ids = [_packed(flat[a:b]) if b > a else b"" for a, b in zip((ends - n).tolist(), ends.tolist())]
+            ids = [packed(flat[a:b]) if b > a else b"" for a, b in zip((ends - n).tolist(), ends.tolist())]
             none = pa.nulls(len(ids))
             yield pa.record_batch([pa.array(np.full(len(ids), chunk)), docs, pa.array(ids, pa.binary()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(_SCHEMA.field("stretches").type)], schema=_SCHEMA)
         if len(vocabulary):
             parts, lengths = zip(*(stretches_of(vocabulary[i : i + SOME], joints) for i in range(0, len(vocabulary), SOME)))
-            inner, stretches = _unified([x.dictionary_encode() for x in parts])
+            inner, stretches = unified([x.dictionary_encode() for x in parts])
             one = pa.ListArray.from_arrays(pa.array([0, len(stretches)], pa.int32()), stretches)
             inner = np.diff(np.concatenate(inner), prepend=np.uint32(0))  # mostly one more than before: the next that is new
-            yield pa.record_batch([[chunk], pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [_packed(np.concatenate(lengths))], [_packed(inner)], one], schema=_SCHEMA)
+            yield pa.record_batch([[chunk], pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), [packed(np.concatenate(lengths))], [packed(inner)], one], schema=_SCHEMA)
 
-    for batch in _slices(batches, min(SLICE, most)):
+    for batch in slices(batches, min(SLICE, most)):
         texts = batch.column(1).fill_null("")
         there = pc.not_equal(pc.binary_length(texts), 0)
         n = np.zeros(len(texts), np.int64)
@@ -442,10 +406,10 @@ def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.nd
     begins = _begins(first, sizes, found, stretches, pieces)
     flat, counts, known = [], [], {}
     for a in range(0, len(sizes), SOME):
-        own, data = _offsets(stretches[a : a + SOME]), stretches.buffers()[2]
+        own, data = offsets_of(stretches[a : a + SOME]), stretches.buffers()[2]
         at = np.flatnonzero((np.frombuffer(data, np.uint8)[own[0] : own[-1]] & 0xC0) != 0x80) + own[0]  # where characters begin
         here = begins[first[a] : first[a] + len(at)]
-        coded = _strings(np.r_[at[here], own[-1]], data).dictionary_encode()
+        coded = strings_of(np.r_[at[here], own[-1]], data).dictionary_encode()
         of = [known[t] if t in known else known.setdefault(t, pieces.ids_of(t)) for t in coded.dictionary.to_pylist()]
         width, which = np.array([len(x) for x in of]), coded.indices.to_numpy()
         flat.append(_ranges(np.concatenate(of).astype(np.int32), np.cumsum(width) - width, width, which))
@@ -453,26 +417,29 @@ def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.nd
     return np.concatenate(flat), np.concatenate(counts)
 
 
-def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces) -> pa.Table:
-    """The ids of a chunk's documents."""
+def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces, decode: bool) -> pa.Table:
+    """The ids of a chunk's documents; with decode the SHA-256 of the text that they decode to as well."""
     rows = docs.filter(pc.is_valid(docs.column("ids")))
     head = docs.filter(pc.is_valid(docs.column("stretches")))
     if head.num_rows:
         flat, own = _tokens(head.column("stretches").combine_chunks().flatten().cast(pa.large_string()), found, pieces)
-        inner = np.cumsum(_unpacked(head.column("inner")[0].as_py()), dtype=np.uint32)
-        lengths = _unpacked(head.column("lengths")[0].as_py()).astype(np.int64)
+        inner = np.cumsum(unpacked(head.column("inner")[0].as_py()), dtype=np.uint32)
+        lengths = unpacked(head.column("lengths")[0].as_py()).astype(np.int64)
         words = _ranges(flat, np.cumsum(own) - own, own, inner)
         per_word = np.add.reduceat(own[inner], np.cumsum(lengths) - lengths)
         begins = np.cumsum(per_word) - per_word
         del flat, own, inner, lengths
-    n = np.array([per_word[_unpacked(b.as_py())].sum() if b.as_py() else 0 for b in rows.column("ids")], np.int64)
+    n = np.array([per_word[unpacked(b.as_py())].sum() if b.as_py() else 0 for b in rows.column("ids")], np.int64)
     ends = np.cumsum(n)
     values = np.empty(int(n.sum()), np.int32)
     for b, first, end in zip(rows.column("ids"), (ends - n).tolist(), ends.tolist()):
         if end > first:
-            values[first:end] = _ranges(words, begins, per_word, _unpacked(b.as_py()))
+            values[first:end] = _ranges(words, begins, per_word, unpacked(b.as_py()))
     offsets = pa.array(np.r_[0, ends].astype(np.int32))
-    return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(values))})
+    out = {"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(values))}
+    if decode:
+        out["decoded_sha256"] = _digests(np.split(values, ends[:-1]) if len(ends) else [], pieces)
+    return pa.table(out)
 
 
 def _ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -482,8 +449,8 @@ def _ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.n
     return flat[at]
 
 
-def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of docs: doc_id and ids. chunk: bytes of text that number their words together."""
+def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, decode: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id and ids, with decode as by with_decoded(), in the same workers. chunk: bytes of text that number their words together."""
     pieces = Pieces.load(model)
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
     cut = saved_by(own.mapInArrow(partial(_cut, joints=frozenset(pieces.joints()), most=chunk), _ENCODED), "chunk", partitions(docs.sparkSession))
@@ -493,7 +460,7 @@ def encoded(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFram
     distinct = places.groupBy("stretch").agg(F.max(F.xxhash64("to", "number")).alias("place")).where("place IS NOT NULL").select("stretch")
     known = encoded_stretches(distinct, pieces)
     found = places.join(known.hint("merge"), "stretch").drop("stretch")
-    return cut.groupBy("chunk").cogroup(found.groupBy("to")).applyInArrow(partial(_fold, pieces=pieces), "doc_id long, ids array<int>")
+    return cut.groupBy("chunk").cogroup(found.groupBy("to")).applyInArrow(partial(_fold, pieces=pieces, decode=decode), "doc_id long, ids array<int>" + ", decoded_sha256 string" * decode)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
@@ -506,16 +473,22 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(partial(_decode, pieces=Pieces.load(model)), "doc_id long, text string")
 
 
-def _with_decoded(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
+def _digests(rows: Iterable[np.ndarray], pieces: Pieces) -> pa.Array:
+    """The SHA-256 of the text that each row's ids decode to, as UTF-8."""
     widths = np.array([len(x) for x in pieces.surfaces])
     whole, begins = np.frombuffer(b"".join(pieces.surfaces), np.uint8), np.cumsum(widths) - widths
+    out = []
+    for ids in rows:
+        text = _ranges(whole, begins, widths, ids).tobytes() if len(ids) else b""
+        text = text[1:] if text[:1] == b" " else text
+        out.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
+    return pa.array(out, pa.string())
+
+
+def _with_decoded(batches: Iterator[pa.RecordBatch], pieces: Pieces) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests = []
-        for ids in batch.column(1):  # a row's ids at a time
-            text = _ranges(whole, begins, widths, ids.values.to_numpy()).tobytes() if ids.is_valid and len(ids.values) else b""
-            text = text[1:] if text[:1] == b" " else text
-            digests.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
-        yield pa.record_batch({"doc_id": batch.column(0), "ids": batch.column(1), "decoded_sha256": pa.array(digests, pa.string())})
+        rows = (ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32) for ids in batch.column(1))  # a row's ids at a time
+        yield pa.record_batch({"doc_id": batch.column(0), "ids": batch.column(1), "decoded_sha256": _digests(rows, pieces)})
 
 
 def with_decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -21,7 +21,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document and decodes its ids again."""
-    own = pieces.with_decoded(pieces.encoded(table(spark, sf_dir, "documents")))
+    own = pieces.encoded(table(spark, sf_dir, "documents"), decode=True)
     return own.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256")
 
 
