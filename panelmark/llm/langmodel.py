@@ -9,7 +9,7 @@ biases are the scores. Training sees every learning token once, in ROUNDS shares
 takes noise-contrastive steps from the round's parameters, for the class and for the word in it, and the results are averaged
 by tokens. Scores are normalised by batched matrix products over all classes and over all words of the class. Within a shared unit words have their share of counts and unseen words the share of hapaxes.
 
-Counting: each chunk numbers its own words, the chunks' counts are summed by word, and the sums go back to
+Counting: each chunk numbers its own words, the chunks' counts are summed by word, and the sums go back by a join to
 the chunks that have the word, so that neither texts nor word occurrences are shuffled.
 
 A null text is empty and has the end token only. Null and repeated ids are rows like others. With nothing to learn
@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmark.llm.common import in_fold, saved, text_of
+from panelmark.llm.chunks import offsets_of, packed, slices, strings_of, unified, unpacked
+from panelmark.llm.common import in_fold, partitions, saved, saved_by, text_of
 
 FOLDS = 10
 #: A word is a unit from N ** (2 / 3) / RARER learning occurrences on: the units grow with the cube root of N about.
@@ -38,54 +39,68 @@ CONTEXT, DIMENSIONS, NOISE, NOISE_IN_CLASS = 2, 24, 24, 4
 ROUNDS, BATCH, RATE = 2, 1024, 0.3
 #: Tokens of which contexts are held at once.
 BLOCK = 1 << 19
-#: Bytes of text that number their words together.
-CHUNK = 1 << 26
+#: Bytes of text that number their words together, and that are cut into words at once.
+CHUNK, SLICE = 1 << 25, 1 << 20
 #: Groups that average parameters before the driver does.
 MEANS = 32
 END = b"\n"  # no word has white space
 SHAPES = 4 * 3 * 4 * 2
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+_ENCODED = "chunk long, doc_id long, held_out boolean, ids binary, words array<string>, counts array<long>"
+_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("words", pa.list_(pa.large_string())), ("counts", pa.list_(pa.int64()))])
+#: A-Z in lower case, white space as the space, all other bytes as they are.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[9:14] = 32
 
 
-_ENCODED = "chunk long, doc_id long, held_out boolean, ids binary, words array<binary>, counts array<long>"
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts without nulls one after the other, and how many each text has."""
+    texts = texts.cast(pa.large_string())
+    offsets = offsets_of(texts)
+    data = _PLAIN[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    split = pc.split_pattern(strings_of(offsets - offsets[0], pa.py_buffer(data)), " ")
+    flat = split.flatten()
+    there = pc.not_equal(pc.binary_length(flat), 0)
+    ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    before = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False))]
+    return flat.filter(there), np.diff(before[np.r_[0, ends].astype(np.int64)])
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a document with its words' numbers, and last for each chunk a row with its words and learning counts."""
-    schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
-    chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-    numbers, size, counts = _Numbers(), 0, np.zeros(0, np.int64)
-
-    def vocabulary() -> pa.RecordBatch:
-        return pa.record_batch([[chunk], [None], [None], [None], [list(numbers)], [counts.tolist()]], schema=schema)
-
-    for batch in batches:
-        held = batch.column(1).to_pylist()
-        texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-        ids, learn = [], []
-        for t, out in zip(texts, held):
-            words = t.lower().split()
-            words.append(END)
-            own = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
-            ids.append(own)
-            if not out:
-                learn.append(own)
-        new = np.bincount(np.concatenate(learn), minlength=len(numbers)) if learn else np.zeros(len(numbers), np.int64)
-        new[: len(counts)] += counts
-        counts = new
-        n = len(texts)
-        yield pa.record_batch([[chunk] * n, batch.column(0), held, [i.tobytes() for i in ids], [None] * n, [None] * n], schema=schema)
-        size += sum(map(len, texts))
+    """A row a document with its words' numbers, and last for each chunk a row with its words, the end among them, and learning counts."""
+    chunk, size = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24, 0
+    docs: list[pa.RecordBatch] = []
+    sizes: list[np.ndarray] = []
+    words: list[pa.DictionaryArray] = []
+
+    def numbered() -> Iterator[pa.RecordBatch]:
+        numbers, vocabulary = unified([*words, pa.array([END.decode()], pa.large_string()).dictionary_encode()])
+        words.clear()
+        end, counts = numbers.pop()[0], np.zeros(len(vocabulary), np.int64)
+        for own, n, flat in zip(docs, sizes, numbers):
+            held = own.column(1).to_numpy(zero_copy_only=False)
+            counts += np.bincount(flat[~np.repeat(held, n)], minlength=len(counts))
+            counts[end] += (~held).sum()
+            at = np.cumsum(n)
+            ids = [packed(np.append(flat[a:b], end)) for a, b in zip((at - n).tolist(), at.tolist())]
+            none = pa.nulls(len(ids))
+            yield pa.record_batch([pa.array(np.full(len(ids), chunk)), own.column(0), own.column(1), pa.array(ids, pa.binary()), none.cast(_SCHEMA.field("words").type), none.cast(_SCHEMA.field("counts").type)], schema=_SCHEMA)
+        one = pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary)
+        yield pa.record_batch([[chunk], pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), one, [counts.tolist()]], schema=_SCHEMA)
+
+    for batch in slices(batches, SLICE, 2):
+        own, n = words_of(batch.column(2).fill_null(""))
+        words.append(own.dictionary_encode())
+        docs.append(batch.select([0, 1]))
+        sizes.append(n)
+        size += pc.sum(pc.binary_length(batch.column(2))).as_py() or 0
         if size > CHUNK:
-            yield vocabulary()
-            chunk, numbers, size, counts = chunk + 1, _Numbers(), 0, np.zeros(0, np.int64)
-    if numbers:
-        yield vocabulary()
+            yield from numbered()
+            chunk, size, docs, sizes = chunk + 1, 0, [], []
+    if docs:
+        yield from numbered()
 
 
 def shape(word: bytes) -> int:
@@ -116,7 +131,7 @@ def _unit_counts(batches: Iterator[pa.RecordBatch], top: dict[bytes, int]) -> It
     total, once = np.zeros(units), np.zeros(units)
     for batch in batches:
         c = batch.column(1).to_numpy()
-        u = unit_of(batch.column(0).to_pylist(), top)
+        u = unit_of(batch.column(0).cast(pa.binary()).to_pylist(), top)
         total += np.bincount(u, c, units)
         once += np.bincount(u, c == 1, units)
     yield pa.record_batch({"unit": pa.array(range(units), pa.int32()), "total": total.astype(np.int64), "once": once.astype(np.int64)})
@@ -128,7 +143,7 @@ _SCORED = "chunk long, doc_id long, held_out boolean, n_tokens long, n_known lon
 def _look_up(docs: pa.Table, found: pa.Table, top: dict[bytes, int], total: np.ndarray, once: np.ndarray, n: int, v: int) -> pa.Table:
     """Counts and units of a chunk's words to its documents."""
     texts = docs.filter(pc.is_valid(docs.column("ids")))
-    words = [w for row in docs.column("words").to_pylist() if row for w in row]
+    words = [w.encode() for row in docs.column("words").to_pylist() if row for w in row]
     counts = np.zeros(len(words), np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     unit = unit_of(words, top)
@@ -137,7 +152,7 @@ def _look_up(docs: pa.Table, found: pa.Table, top: dict[bytes, int], total: np.n
     own = unit >= len(top)
     seen = np.where(own, (1 - unseen[unit]) * counts / np.maximum(total[unit], 1), 1.0)
     within = np.log10(np.where(counts > 0, np.maximum(seen, 1e-300), np.where(own, unseen[unit], 1.0)))
-    ids = [np.frombuffer(b, np.uint32) for b in texts.column("ids").to_pylist()]
+    ids = [unpacked(b.as_py()) for b in texts.column("ids")]
     k = len(ids)
     flat = np.concatenate(ids) if k else np.zeros(0, np.uint32)
     starts = np.cumsum([0, *map(len, ids)])[:-1] if k else np.zeros(0, np.int64)
@@ -339,21 +354,26 @@ def _score(batches: Iterator[pa.RecordBatch], params: bytes, noise: np.ndarray,
 def scored(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     own = docs.select(F.col("doc_id").cast("long"), in_fold(F.col("doc_id"), FOLDS).alias("held_out"), text_of().alias("text"))
-    encoded = saved(own.mapInArrow(_encode, _ENCODED))
+    n_parts = partitions(docs.sparkSession)
+    encoded = saved_by(own.mapInArrow(_encode, _ENCODED), "chunk", n_parts)
     words = encoded.where("words IS NOT NULL").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("id", "x"))
-    words = words.select("chunk", F.col("id").cast("long"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    vocabulary = saved(words.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "id")).alias("places")))
+    words = words.select("chunk", F.col("id").cast("long"), F.col("x.words").alias("word"), F.col("x.counts").alias("n")).repartition(n_parts, "word")
+    # a word's sum goes to all chunks that have it, by a join: no row holds a word's chunks; its first chunk keeps the word itself
+    sums = words.groupBy("word").agg(F.sum("n").alias("sum"), F.min(F.struct("chunk", "id")).alias("first"))
+    here = F.when((F.col("first.chunk") == F.col("chunk")) & (F.col("first.id") == F.col("id")), F.col("word"))
+    places = words.join(sums.hint("merge"), "word").select("chunk", "id", F.col("sum").alias("n"), here.alias("word"))
+    places = saved_by(places.repartition(n_parts, "chunk"), "chunk", n_parts)
+    vocabulary = places.where("word IS NOT NULL").select("word", "n")
     sums = vocabulary.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
-    top = {bytes(r.word): i for i, r in enumerate(vocabulary.where(F.col("n") >= least_count(n)).orderBy(F.desc("n"), "word").select("word").collect())}  # at most RARER * n ** (1 / 3)
+    top = {r.word.encode(): i for i, r in enumerate(vocabulary.where(F.col("n") >= least_count(n)).orderBy(F.desc("n"), "word").select("word").collect())}  # at most RARER * n ** (1 / 3)
     units = vocabulary.where("n > 0").select("word", "n").mapInArrow(partial(_unit_counts, top=top), "unit int, total long, once long")
     rows = units.groupBy("unit").agg(F.sum("total").alias("total"), F.sum("once").alias("once")).collect()  # a row a unit
     total, once = np.zeros(len(top) + SHAPES), np.zeros(len(top) + SHAPES)
     for r in rows:
         total[r.unit], once[r.unit] = r.total, r.once
-    places = vocabulary.select("n", F.explode("places").alias("p")).select("p.chunk", "p.id", "n")
     look_up = partial(_look_up, top=top, total=total, once=once, n=n, v=v)
-    units_of = saved(encoded.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(look_up, _SCORED))
+    units_of = saved(encoded.groupBy("chunk").cogroup(places.drop("word").groupBy("chunk")).applyInArrow(look_up, _SCORED))
     noise = (total + 1) / (total + 1).sum()
     params = LogBilinear(len(noise), noise, len(top)).to_bytes()
     for i in range(ROUNDS):
