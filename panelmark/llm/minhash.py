@@ -105,12 +105,16 @@ def with_next(docs: DataFrame, slices: int) -> DataFrame:
     the end of the slice before it (the last slice's is the first one's), so that texts are dealt once.
     """
     cuts = docs.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)], 10_000).alias("c")).first().c if slices > 1 else None
-    slice_ = F.when(F.col("doc_id").isNull(), -1).otherwise(sum(((F.col("doc_id") >= c).cast("int") for c in sorted(set(cuts or []))), F.lit(0)))
+    cuts = sorted(set(cuts or []))
+    edges, steps = F.array(*map(F.lit, cuts)), F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    # how many cuts are at most doc_id, by halves: the expression does not grow with the slices
+    above = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= len(cuts)) & (F.get(edges, n + k - 1) <= F.col("doc_id")), n + k).otherwise(n)) if cuts else F.lit(0)
+    slice_ = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(slices)).cast("int")).otherwise(above)
     sliced = docs.withColumn("slice", slice_)
-    heads = sorted((r.slice, r.top) for r in sliced.groupBy("slice").agg(F.max("doc_id").alias("top")).collect())[::-1]  # at most slices + 1
+    heads = sorted(((r.slice, r.top) for r in sliced.groupBy("slice").agg(F.max("doc_id").alias("top")).collect()), key=lambda h: -h[0])  # at most twice the slices
     if not heads:
         return docs.withColumns({"next_text": F.lit(""), "next_sketch": F.col("sketch")})
-    at_head = F.col("doc_id").isNull() | F.col("doc_id").isin([top for _, top in heads])
+    at_head = F.col("doc_id").isNull() | F.col("doc_id").isin([top for _, top in heads if top is not None])
     before = F.create_map(*[F.lit(x) for (s, _), (host, _) in zip(heads, heads[-1:] + heads[:-1]) for x in (s, host)])
     guests = sliced.where(at_head).groupBy("slice").agg(F.min(F.struct((-F.col("doc_id")).alias("minus"), "text", "sketch")).alias("g"))
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "g.text", "g.sketch", before[F.col("slice")].alias("slice"), F.lit(1).alias("guest"))
