@@ -32,6 +32,8 @@ LEAST = 100
 GRAM = 32
 #: Bytes hashed at once; suffixes sorted at once (more if one anchor has more); occurrences of a very frequent anchor.
 BLOCK, SUFFIXES, FREQUENT = 1 << 19, 150_000, 20_000
+#: Bytes of text in a part, about; parts are at least as many as shuffle partitions.
+PART = 1 << 24
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]  # any odd numbers
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -322,7 +324,8 @@ def _apply(docs: pa.Table, spans: pa.Table) -> pa.Table:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, the removed spans of bytes, the kept bytes and their SHA-256."""
-    n = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(docs.sparkSession), -(-size // PART))  # parts and buckets are groups in memory: they follow the bytes
     hash_ = F.xxhash64("doc_id", "text")
     dealt = docs.select(F.col("doc_id").cast("long"), text_of().cast("binary").alias("text")).withColumn("hash", hash_).withColumn("part", F.pmod("hash", F.lit(n)).cast("int"))
     counted = dealt.select("part", "text").mapInArrow(partial(_count_anchors, buckets=n), "bucket int, packed binary")
