@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from panelmark.llm.common import WORD, checked, saved, text_of
 
-#: The dynamic program fits at most so many words; more are given to the largest sizes first.
+#: Words that the dynamic program fits, a parameter; what proportional shares leave beyond them goes to the largest sizes first.
 FIT_WORDS = 1 << 15
 #: Expected documents of one size that are ranked together.
 RANKED = 256
@@ -50,7 +50,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
     return out
 
 
-def fit(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+def fit(sizes: Sequence[int], counts: Sequence[int], budget: int, words: int = FIT_WORDS) -> list[int]:
     """How many documents of each size to take, at most its count, so that the words come to the budget or just below."""
     whole = sum(s * c for s, c in zip(sizes, counts))
     share = min(1.0, budget / whole) if whole else 0.0
@@ -58,11 +58,11 @@ def fit(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     left = budget - sum(s * k for s, k in zip(sizes, taken))
     down = sorted((i for i, s in enumerate(sizes) if s), key=lambda i: -sizes[i])
     for i in down:
-        if left > FIT_WORDS:
-            more = min(counts[i] - taken[i], (left - FIT_WORDS + sizes[i] - 1) // sizes[i], left // sizes[i])
+        if left > words:
+            more = min(counts[i] - taken[i], (left - words + sizes[i] - 1) // sizes[i], left // sizes[i])
             taken[i] += more
             left -= more * sizes[i]
-    if left > FIT_WORDS or left <= 0:  # above it only documents of more than FIT_WORDS words are left
+    if left > words or left <= 0:  # above it only documents of more words each are left
         for i in down:
             more = min(counts[i] - taken[i], max(0, left) // sizes[i])
             taken[i] += more
@@ -90,12 +90,12 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11, fit_words: int = FIT_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken."""
-    return mix_sizes(saved(sized(docs)), weights, share, most, seed)
+    return mix_sizes(saved(sized(docs)), weights, share, most, seed, fit_words)
 
 
-def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
+def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11, fit_words: int = FIT_WORDS) -> DataFrame:
     """As mixed(), from rows (doc_id, source, size)."""
     spark = rows.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
@@ -111,7 +111,7 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
-        return pdf.assign(more=np.array(fit(pdf["size"].tolist(), pdf["n"].tolist(), max(0, budget[pdf["key"].iloc[0]])), np.int64))
+        return pdf.assign(more=np.array(fit(pdf["size"].tolist(), pdf["n"].tolist(), max(0, budget[pdf["key"].iloc[0]]), fit_words), np.int64))
 
     plan = saved(counts.groupBy("key").applyInPandas(fitted, "key string, size long, n long, more long"))
     by_source = spark.createDataFrame([(k, w, t, passes[k]) for k, (w, t) in per.items()], "key string, source_size long, target double, passes int")
