@@ -1,9 +1,6 @@
 """Identities: components of links, canonical ids, name keys and fuzzy matches."""
 
-import os
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -12,13 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "panelmark-shared")
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from panelmark.storage import saved
 
 
 def identities(links: DataFrame) -> DataFrame:
@@ -27,13 +18,13 @@ def identities(links: DataFrame) -> DataFrame:
     Each round takes the least label over a judge's officials and then jumps to that label's own label; lineage is
     cut by a written table, and rounds end when no label changes.
     """
-    links = written(links.where("judge_id IS NOT NULL AND official IS NOT NULL").distinct())
-    labels = written(links.select("judge_id", F.col("judge_id").alias("identity")).distinct())
+    links = saved(links.where("judge_id IS NOT NULL AND official IS NOT NULL").distinct())
+    labels = saved(links.select("judge_id", F.col("judge_id").alias("identity")).distinct())
     while True:
         least = links.join(labels, "judge_id").groupBy("official").agg(F.min("identity").alias("least"))
         near = links.join(least, "official").groupBy("judge_id").agg(F.min("least").alias("identity"))
         jumped = near.join(labels.select(F.col("judge_id").alias("identity"), F.col("identity").alias("far")), "identity", "left")
-        new = written(jumped.select("judge_id", F.least("identity", "far").alias("identity")))
+        new = saved(jumped.select("judge_id", F.least("identity", "far").alias("identity")))
         changed = new.join(labels.withColumnRenamed("identity", "was"), "judge_id").where("identity <> was").limit(1).count()
         labels = new
         if not changed:
