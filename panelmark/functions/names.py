@@ -66,3 +66,10 @@ def singleton_labels(judges: DataFrame) -> DataFrame:
     own = judges.withColumn("base", base)
     again = F.row_number().over(Window.partitionBy("base").orderBy(F.lower("judge_name"), "judge_id"))
     return own.withColumn("again", again).select("judge_id", F.when(F.col("again") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" [judge id "), F.col("judge_id").cast("string"), F.lit("]"))).alias("label"))
+
+
+def split_identities(judges: DataFrame) -> DataFrame:
+    """judges (judge_id, judge_name, identity): names of one person under several identities, a row a key: links that could be made."""
+    keyed = judges.withColumn("key", person_key(F.col("judge_name"))).where("key <> ''")
+    own = keyed.groupBy("key").agg(F.countDistinct("identity").alias("n_identities"), F.array_sort(F.collect_set("judge_id")).alias("judge_ids"))  # few judges have one name
+    return own.where("n_identities > 1")

@@ -14,6 +14,12 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """A non-negative value to nine digits first, then rounded by whole numbers, ties up: sums that err by their order round alike."""
+    unit = 10 ** (9 - digits)
+    return F.floor((F.round(x * 1e9).cast("long") + unit // 2) / unit) / float(10**digits)
+
+
 def with_panel(marks: DataFrame, score: str = "judge_score", panel: str = "element_id") -> DataFrame:
     """Adds panel_average, deviation, control_score (median), panel_size and thrown_out; null scores take no part.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmark.functions.scoring import ELEMENT_ANOMALY, allowed_anomalies, is_anomaly, rounded
+from panelmark.functions.scoring import ELEMENT_ANOMALY, PCS_ANOMALY, allowed_anomalies, half_up, is_anomaly, rounded
 
 METRICS = ("throwout_rate", "anomaly_rate", "rule_errors", "avg_deviation")
 
@@ -130,3 +130,49 @@ def significance(marks: DataFrame) -> DataFrame:
 def appearances(elements: DataFrame, components: DataFrame) -> DataFrame:
     """Distinct (judge, competition) of either kind of marks."""
     return elements.select("judge_id", "competition_id").union(components.select("judge_id", "competition_id")).distinct()
+
+
+def by_kind(elements: DataFrame, components: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """By keys and score type (element, pcs, both): marks, throw-outs, anomalies, rule errors, the size of the mean deviation, excess anomalies.
+
+    Of both kinds together the mean deviations' sizes are weighted by marks. A type without marks has no row.
+    """
+
+    def one(marks: DataFrame, least: float, name: str) -> DataFrame:
+        own = marks.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_marks"), _sum(F.col("thrown_out")).alias("n_thrown"), _sum(is_anomaly(F.col("deviation"), F.col("is_rule_error"), least)).alias("n_anomalies"),
+            _sum(F.col("is_rule_error")).alias("n_rule_errors"), F.abs(F.avg("deviation")).alias("size"),
+        )
+        places = list(dict.fromkeys([*keys, "competition_id", "segment_id", "judge_id"]))
+        fields = marks.groupBy("competition_id", "segment_id").agg(F.countDistinct("skater_segment_id").alias("entries"))
+        seen = marks.groupBy(*places).agg(_sum(is_anomaly(F.col("deviation"), F.col("is_rule_error"), least)).alias("observed")).join(fields, ["competition_id", "segment_id"])
+        over = seen.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.col("observed") - allowed_anomalies(F.col("entries")))).cast("long").alias("n_excess"))
+        return own.join(over, list(keys)).withColumn("score_type", F.lit(name))
+
+    two = one(elements, ELEMENT_ANOMALY, "element").unionByName(one(components, PCS_ANOMALY, "pcs"))
+    sums = [F.sum(c).alias(c) for c in ("n_marks", "n_thrown", "n_anomalies", "n_rule_errors")]
+    both = two.groupBy(*keys).agg(*sums, (F.sum(F.col("size") * F.col("n_marks")) / F.sum("n_marks")).alias("size"), F.sum("n_excess").alias("n_excess")).withColumn("score_type", F.lit("both"))
+    return two.unionByName(both)
+
+
+def heatmap_grid(kinds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """by_kind() as a row a key, score type and metric of six: rates in percent and counts; counts of nothing are left out."""
+    share = lambda c: F.round(100.0 * F.col(c) / F.col("n_marks"), 2)
+    values = {
+        "throwout_rate": share("n_thrown"), "anomaly_rate": share("n_anomalies"), "rule_error_rate": share("n_rule_errors"), "rule_errors": F.nullif(F.col("n_rule_errors"), F.lit(0)).cast("double"),
+        "excess_anomalies": F.nullif(F.col("n_excess"), F.lit(0)).cast("double"), "avg_deviation": half_up(F.col("size"), 4),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])
+    return kinds.select(*keys, "score_type", "n_marks", F.inline(rows)).where("value IS NOT NULL")
+
+
+def benchmark_by_kind(elements: DataFrame, components: DataFrame, bucket: Column) -> DataFrame:
+    """By discipline bucket, panel size 3 to 12, score type and benchmark (throwout, anomaly): marks, hits and their rate in percent, three digits."""
+
+    def one(marks: DataFrame, least: float, name: str) -> DataFrame:
+        own = marks.where("panel_size BETWEEN 3 AND 12").withColumn("discipline", bucket).where("discipline IS NOT NULL").groupBy("discipline", "panel_size")
+        hits = own.agg(F.count(F.lit(1)).alias("total_scores"), _sum(F.col("thrown_out")).alias("throwout"), _sum(is_anomaly(F.col("deviation"), F.col("is_rule_error"), least)).alias("anomaly"))
+        return hits.select("discipline", "panel_size", F.lit(name).alias("score_type"), "total_scores", F.stack(F.lit(2), F.lit("throwout"), F.col("throwout"), F.lit("anomaly"), F.col("anomaly")).alias("benchmark", "hits"))
+
+    two = one(elements, ELEMENT_ANOMALY, "Element").unionByName(one(components, PCS_ANOMALY, "PCS"))
+    return two.withColumn("rate_pct", F.round(100.0 * F.col("hits") / F.col("total_scores"), 3))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmark.functions import names, policies
+from panelmark.functions import classify, names, policies, predicates
 from panelmark.functions.scoring import rounded
-from panelmark.operators import choices, rules, sigma
-from panelmark.plans.catalog import component_marks, panel_marks, query
+from panelmark.operators import activity, choices, rates, rules, sigma
+from panelmark.plans.catalog import _SERVICE, YEARS, component_marks, panel_marks, query, service
 from panelmark.sources import protocols
 from panelmark.sources.tables import MARKS_SQL, marks, table
 
@@ -256,3 +256,56 @@ def season_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seasons as text between two others, both included, one left out."""
     season = F.col("season_start").cast("string")
     return panel_marks(spark, sf_dir).where(season.between("1996", "1998") & (season != "1997")).groupBy("judge_id").agg(F.count(F.lit(1)).alias("n_marks"))
+
+
+_KINDS = MARKS_SQL + """, pcs AS (SELECT *, avg(pcs_score) OVER w AS pa, (pcs_score = min(pcs_score) OVER w OR pcs_score = max(pcs_score) OVER w) AND count(*) OVER (PARTITION BY element_id, pcs_score) < 3 AS pt FROM marks WINDOW w AS (PARTITION BY element_id)),
+two AS (SELECT 'element' AS score_type, 2.0 AS least, discipline_type_id, panel_size, judge_id, competition_id, competition_type_id, segment_id, skater_segment_id, deviation, thrown_out, is_rule_error FROM panel UNION ALL
+SELECT 'pcs', 1.5, discipline_type_id, count(*) OVER (PARTITION BY element_id), judge_id, competition_id, competition_type_id, segment_id, skater_segment_id, pcs_score - pa, pt, is_rule_error FROM pcs)"""
+
+
+def _grid_sql(keys: str) -> str:
+    return _KINDS + f""", own AS (SELECT {keys}, score_type, count(*) AS n_marks, count(*) FILTER (thrown_out) AS n_thrown, count(*) FILTER (abs(deviation) >= least OR is_rule_error) AS n_anomalies, count(*) FILTER (is_rule_error) AS n_rule_errors, abs(avg(deviation)) AS size FROM two GROUP BY ALL),
+fields AS (SELECT competition_id, segment_id, count(DISTINCT skater_segment_id) AS entries FROM two GROUP BY ALL), seen AS (SELECT judge_id, competition_id, segment_id, score_type, count(*) FILTER (abs(deviation) >= least OR is_rule_error) AS observed FROM two GROUP BY ALL),
+over_ AS (SELECT {keys}, score_type, sum(greatest(0, observed - CASE WHEN entries <= 10 THEN 1 WHEN entries <= 20 THEN 2 ELSE 3 END)) AS n_excess FROM seen JOIN fields USING (competition_id, segment_id) GROUP BY ALL), kinds AS (SELECT * FROM own JOIN over_ USING ({keys}, score_type)),
+both_ AS (SELECT {keys}, 'both' AS score_type, sum(n_marks) AS n_marks, sum(n_thrown) AS n_thrown, sum(n_anomalies) AS n_anomalies, sum(n_rule_errors) AS n_rule_errors, sum(size * n_marks) / sum(n_marks) AS size, sum(n_excess) AS n_excess FROM kinds GROUP BY {keys}),
+whole AS (SELECT {keys}, score_type, n_marks, n_thrown, n_anomalies, n_rule_errors, size, n_excess FROM kinds UNION ALL SELECT * FROM both_),
+long_ AS (SELECT {keys}, score_type, CAST(n_marks AS BIGINT) AS n_marks, unnest(['throwout_rate', 'anomaly_rate', 'rule_error_rate', 'rule_errors', 'excess_anomalies', 'avg_deviation']) AS metric,
+unnest([round(100.0 * n_thrown / n_marks, 2), round(100.0 * n_anomalies / n_marks, 2), round(100.0 * n_rule_errors / n_marks, 2), nullif(CAST(n_rule_errors AS DOUBLE), 0), nullif(CAST(n_excess AS DOUBLE), 0), (CAST(round(size * 1000000000) AS BIGINT) + 50000) // 100000 / 10000.0]) AS value FROM whole)
+SELECT * FROM long_ WHERE value IS NOT NULL"""
+
+
+@query(_grid_sql("judge_id"))
+def heatmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six metrics of three score types by judge."""
+    kinds = rates.by_kind(panel_marks(spark, sf_dir), component_marks(spark, sf_dir), ["judge_id"])
+    return rates.heatmap_grid(kinds, ["judge_id"])
+
+
+@query(_grid_sql("competition_id, judge_id"))
+def competition_heatmap_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by competition and judge."""
+    keys = ["competition_id", "judge_id"]
+    return rates.heatmap_grid(rates.by_kind(panel_marks(spark, sf_dir), component_marks(spark, sf_dir), keys), keys)
+
+
+@query(_KINDS + """, b AS (SELECT CASE discipline_type_id WHEN 1 THEN 'Singles' WHEN 2 THEN 'Pairs' WHEN 3 THEN 'Dance' WHEN 5 THEN 'Synchronized' END AS discipline, panel_size, CASE score_type WHEN 'pcs' THEN 'PCS' ELSE 'Element' END AS score_type, count(*) AS total_scores,
+count(*) FILTER (thrown_out) AS t, count(*) FILTER (abs(deviation) >= least OR is_rule_error) AS a FROM two WHERE panel_size BETWEEN 3 AND 12 AND competition_type_id NOT IN (11, 15, 16, 17) AND discipline_type_id IN (1, 2, 3, 5) GROUP BY ALL)
+SELECT discipline, panel_size, score_type, total_scores, benchmark, hits, round(100.0 * hits / total_scores, 3) AS rate_pct FROM (SELECT * EXCLUDE (t, a), unnest(['throwout', 'anomaly']) AS benchmark, unnest([t, a]) AS hits FROM b)""")
+def benchmark_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda m: m.where(predicates.scope(F.col("competition_type_id"), "qualifying"))
+    return rates.benchmark_by_kind(own(panel_marks(spark, sf_dir)), own(component_marks(spark, sf_dir)), classify.discipline_bucket(F.col("discipline_type_id")))
+
+
+@query("""WITH j AS (SELECT s_suppkey AS judge_id, s_nationkey % 12 AS k, s_suppkey % 3 AS identity FROM supplier), g AS (SELECT k, count(DISTINCT identity) AS n_identities, list_sort(list(DISTINCT judge_id)) AS ids FROM j GROUP BY k)
+SELECT 'judge no ' || k AS key, n_identities, array_to_string(ids, ' ') AS judge_ids FROM g WHERE n_identities > 1""")
+def split_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("s_nationkey") % 12).cast("string")
+    name = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Judge  No. "), k)).otherwise(F.concat(F.lit("JUDGE-no "), k))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("judge_id"), name.alias("judge_name"), (F.col("s_suppkey") % 3).alias("identity"))
+    return names.split_identities(own).withColumn("judge_ids", F.array_join(F.transform("judge_ids", lambda x: x.cast("string")), " "))
+
+
+@query(_SERVICE + "SELECT official_id, " + ", ".join(f"count(DISTINCT competition_id) FILTER (season_code = {y}) AS s{y}" for y in YEARS) + " FROM service WHERE nqs GROUP BY official_id")
+def nqs_only_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Competitions of the national series alone, by season."""
+    return activity.season_pivot(service(spark, sf_dir).where("nqs"), YEARS)
