@@ -5,7 +5,7 @@ with at most `radius` differing bits some choice of the other blocks agrees in f
 fingerprints form one BK-tree (children keyed by their integer distance to the parent), a search follows
 only the edges within the radius, and found fingerprints leave the tree, so a dense group costs no
 pairs. The trees travel by shuffle and not by broadcast, as their size has no bound. The number of blocks
-follows the number of fingerprints; shards that are large all the same are dealt again by more blocks.
+follows the number of fingerprints; shards that are large all the same are dealt again by more blocks, as often as that helps.
 
 Null and empty texts have the fingerprint zero and link like any other. A null doc_id takes part; a group
 of null ids only has a null component. Repeated rows stay rows of their own. Empty tables give empty results.
@@ -14,8 +14,9 @@ of null ids only has a null component. Repeated rows stay rows of their own. Emp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ RADIUS = 3
 SEED = 42
 #: Mean fingerprints of a shard, and how many make a shard large.
 SHARD_MEAN, SHARD_LARGE = 8, 4096
+#: Blocks up to which large shards are dealt again, with more of them each time.
+MOST_BLOCKS = 13
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -169,14 +172,17 @@ def _dealt(distinct: DataFrame, blocks: int, radius: int) -> DataFrame:
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct: distinct values fp (long), saved. Edges (a, b) that span all groups linked within the radius."""
     spark = distinct.sparkSession
-    blocks = blocks_for(distinct.count(), radius)
-    dealt = _dealt(distinct, blocks, radius)
-    large = saved(dealt.groupBy("choice", "agreed").count().where(F.col("count") > SHARD_LARGE).select("choice", "agreed"))
-    if not large.isEmpty():
-        hot = saved(dealt.join(large, ["choice", "agreed"], "left_semi").select("fp").distinct())
-        again = _dealt(hot, blocks + 3, radius).withColumn("choice", -1 - F.col("choice"))
-        dealt = dealt.join(large, ["choice", "agreed"], "left_anti").union(again)
-    sorted_ = dealt.repartition(partitions(spark), "choice", "agreed").sortWithinPartitions("choice", "agreed")
+    blocks, choices, parts = blocks_for(distinct.count(), radius), 0, []
+    while True:
+        dealt = _dealt(distinct, blocks, radius).withColumn("choice", F.col("choice") + choices)
+        large = saved(dealt.groupBy("choice", "agreed").count().where(F.col("count") > SHARD_LARGE).select("choice", "agreed"))
+        if blocks + 3 > MOST_BLOCKS or large.isEmpty():  # what is large by the most blocks differs in few bits only: a dense group, which trees take at once
+            parts.append(dealt)
+            break
+        parts.append(dealt.join(large, ["choice", "agreed"], "left_anti"))
+        distinct = saved(dealt.join(large, ["choice", "agreed"], "left_semi").select("fp").distinct())
+        choices, blocks = choices + comb(blocks, radius), blocks + 3
+    sorted_ = reduce(DataFrame.union, parts).repartition(partitions(spark), "choice", "agreed").sortWithinPartitions("choice", "agreed")
     return sorted_.mapInArrow(partial(_search, radius=radius), "a long, b long")
 
 
