@@ -419,6 +419,8 @@ def _tokens(stretches: pa.Array, found: pa.Table, pieces: Pieces) -> tuple[np.nd
 
 def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces, decode: bool) -> pa.Table:
     """The ids of a chunk's documents; with decode the SHA-256 of the text that they decode to as well."""
+    pa.default_memory_pool().release_unused()  # what the chunk before took
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *([("decoded_sha256", pa.string())] * decode)])
     rows = docs.filter(pc.is_valid(docs.column("ids")))
     head = docs.filter(pc.is_valid(docs.column("stretches")))
     if head.num_rows:
@@ -430,16 +432,18 @@ def _fold(docs: pa.Table, found: pa.Table, pieces: Pieces, decode: bool) -> pa.T
         begins = np.cumsum(per_word) - per_word
         del flat, own, inner, lengths
     n = np.array([per_word[unpacked(b.as_py())].sum() if b.as_py() else 0 for b in rows.column("ids")], np.int64)
-    ends = np.cumsum(n)
-    values = np.empty(int(n.sum()), np.int32)
-    for b, first, end in zip(rows.column("ids"), (ends - n).tolist(), ends.tolist()):
-        if end > first:
-            values[first:end] = _ranges(words, begins, per_word, unpacked(b.as_py()))
-    offsets = pa.array(np.r_[0, ends].astype(np.int32))
-    out = {"doc_id": rows.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(values))}
-    if decode:
-        out["decoded_sha256"] = _digests(np.split(values, ends[:-1]) if len(ends) else [], pieces)
-    return pa.table(out)
+    part, out = np.cumsum(n) // SLICE, []
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() if len(part) else []
+    for a, b in zip(cuts, [*cuts[1:], len(n)]):  # about SLICE ids a batch: the JVM holds one batch at a time
+        ends = np.cumsum(n[a:b])
+        values = np.empty(int(n[a:b].sum()), np.int32)
+        for x, first, end in zip(rows.column("ids").slice(a, b - a), (ends - n[a:b]).tolist(), ends.tolist()):
+            if end > first:
+                values[first:end] = _ranges(words, begins, per_word, unpacked(x.as_py()))
+        cols = [rows.column("doc_id").slice(a, b - a).combine_chunks(), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))]
+        cols += [_digests(np.split(values, ends[:-1]), pieces)] if decode else []
+        out.append(pa.record_batch(cols, schema=schema))
+    return pa.Table.from_batches(out, schema)
 
 
 def _ranges(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
