@@ -35,7 +35,7 @@ from panelmark.llm.common import in_fold, partitions, saved, saved_by, text_of
 FOLDS = 10
 #: A word is a unit from N ** (2 / 3) / RARER learning occurrences on: the units grow with the cube root of N about.
 RARER = 100
-CONTEXT, DIMENSIONS, NOISE, NOISE_IN_CLASS = 2, 24, 24, 4
+CONTEXT, DIMENSIONS, NOISE, NOISE_IN_CLASS = 2, 24, 24, 8
 ROUNDS, BATCH, RATE = 2, 1024, 0.3
 #: Tokens of which contexts are held at once.
 BLOCK = 1 << 19
@@ -238,7 +238,7 @@ class LogBilinear:
             self.parts()[part][rows] -= RATE * g / np.sqrt(s)
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive steps (Adagrad); a batch shares its noise classes, each word has noise from its class."""
+        """One pass of noise-contrastive steps (Adagrad); a batch shares its noise classes, and its words of one class share noise from it."""
         log_noise = np.log(NOISE * self.class_noise).astype(np.float32)
         cumulative, edges = np.cumsum(self.class_noise), np.r_[0.0, np.cumsum(self.noise[: self.words])]
         for at in range(0, len(targets), BATCH):
@@ -253,18 +253,21 @@ class LogBilinear:
             steps = [(np.r_[y, drawn], {1: np.concatenate([g_data[:, None] * h, g_fake.T @ h]), 3: np.r_[g_data, g_fake.sum(axis=0)]})]
             own = np.flatnonzero(unit < self.words)
             if len(own):
+                own = own[np.argsort(y[own].astype(unit_type(len(self.class_noise))), kind="stable")]  # by class: its words share their noise
                 w, h_own = unit[own], h[own]
-                first = y[own] * self.width
+                starts = np.flatnonzero(np.r_[True, y[own[1:]] != y[own[:-1]]])
+                first = y[own[starts]] * self.width
                 last = np.minimum(first + self.width, self.words)
                 low = edges[first][:, None]
-                other = np.searchsorted(edges, low + (edges[last][:, None] - low) * rng.random((len(own), NOISE_IN_CLASS)), "right") - 1
-                both = np.concatenate([w[:, None], np.clip(other, first[:, None], last[:, None] - 1)], axis=1)  # the word and its noise
-                q = self.q_in[both]
-                g = _logistic((q @ h_own[:, :, None])[:, :, 0] + self.b_in[both] - self.log_noise_in[both])
-                g[:, 0] -= 1
-                g /= n
-                g_h[own] += (g[:, None, :] @ q)[:, 0]
-                steps.append((both.ravel(), {4: (g[:, :, None] * h_own[:, None, :]).reshape(-1, DIMENSIONS), 5: g.ravel()}))
+                noise = np.searchsorted(edges, low + (edges[last][:, None] - low) * rng.random((len(starts), NOISE_IN_CLASS)), "right") - 1
+                noise = np.clip(noise, first[:, None], last[:, None] - 1)
+                of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(own)]))
+                q, q_noise = self.q_in[w], self.q_in[noise][of]
+                g = (_logistic(np.einsum("ij,ij->i", q, h_own) + self.b_in[w] - self.log_noise_in[w]) - 1) / n
+                g_noise = _logistic((q_noise @ h_own[:, :, None])[:, :, 0] + (self.b_in[noise] - self.log_noise_in[noise])[of]) / n
+                g_h[own] += g[:, None] * q + (g_noise[:, None, :] @ q_noise)[:, 0]
+                each = np.add.reduceat(g_noise[:, :, None] * h_own[:, None, :], starts, axis=0).reshape(-1, DIMENSIONS)
+                steps.append((np.r_[w, noise.ravel()], {4: np.concatenate([g[:, None] * h_own, each]), 5: np.r_[g, np.add.reduceat(g_noise, starts, axis=0).ravel()]}))
             steps.append((x.T.ravel(), {0: np.concatenate([g_h * self.c[j] for j in range(CONTEXT)])}))
             steps.append((np.arange(CONTEXT), {2: np.stack([np.einsum("ij,ij->j", g_h, self.r[x[:, j]]) for j in range(CONTEXT)])}))
             for step in steps:
