@@ -41,8 +41,8 @@ ROUNDS, BATCH, RATE = 2, 1024, 0.3
 BLOCK = 1 << 19
 #: Bytes of text that number their words together, and that are cut into words at once.
 CHUNK, SLICE = 1 << 25, 1 << 20
-#: Groups that average parameters before the driver does.
-MEANS = 32
+#: Bytes of parameters that are averaged together, whole numbers of floats.
+PART = 1 << 16
 END = b"\n"  # no word has white space
 SHAPES = 4 * 3 * 4 * 2
 
@@ -308,15 +308,17 @@ def _train(batches: Iterator[pa.RecordBatch], params: bytes, noise: np.ndarray,
             model.train(contexts[order], targets[order], rng)
             n += len(order)
     if n:
-        group = (TaskContext.get().partitionId() if TaskContext.get() else 0) % MEANS
-        yield pa.record_batch({"mean": pa.array([group], pa.int32()), "n": pa.array([n], pa.int64()), "params": pa.array([model.to_bytes()], pa.binary())})
+        data = model.to_bytes()
+        parts = [data[i : i + PART] for i in range(0, len(data), PART)]
+        yield pa.record_batch({"part": pa.array(range(len(parts)), pa.int32()), "n": pa.array([n] * len(parts), pa.int64()), "params": pa.array(parts, pa.binary())})
 
 
 def _mean(rows: pa.Table) -> pa.Table:
+    """A part of the parameters, averaged over the tasks by their tokens."""
     each = sorted(zip(rows.column("n").to_pylist(), rows.column("params").to_pylist()))
     n = sum(x for x, _ in each)
     mean = sum(np.frombuffer(p, "<f4").astype(np.float64) * (x / n) for x, p in each)
-    return pa.table({"n": pa.array([n], pa.int64()), "params": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
+    return pa.table({"part": rows.column("part").slice(0, 1), "params": pa.array([mean.astype("<f4").tobytes()], pa.binary())})
 
 
 def _log10(model: LogBilinear, units: list[np.ndarray]) -> np.ndarray:
@@ -380,10 +382,8 @@ def scored(docs: DataFrame) -> DataFrame:
     noise = (total + 1) / (total + 1).sum()
     params = LogBilinear(len(noise), noise, len(top)).to_bytes()
     for i in range(ROUNDS):
-        trained = units_of.where("NOT held_out").select("units").mapInArrow(partial(_train, params=params, noise=noise, words=len(top), round_=i), "mean int, n long, params binary")
-        means = [(r.n, bytes(r.params)) for r in trained.groupBy("mean").applyInArrow(_mean, "n long, params binary").collect()]  # at most MEANS
-        if means:
-            table = pa.table({"n": pa.array([x for x, _ in means], pa.int64()), "params": pa.array([p for _, p in means], pa.binary())})
-            params = _mean(table).column("params")[0].as_py()
+        trained = units_of.where("NOT held_out").select("units").mapInArrow(partial(_train, params=params, noise=noise, words=len(top), round_=i), "part int, n long, params binary")
+        parts = trained.groupBy("part").applyInArrow(_mean, "part int, params binary").collect()  # together as large as the parameters
+        params = b"".join(bytes(r.params) for r in sorted(parts)) or params
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return units_of.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "in_unit", "units").mapInArrow(partial(_score, params=params, noise=noise, words=len(top), n=n), schema)
