@@ -14,6 +14,11 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
+def settled(x: Column, digits: int) -> Column:
+    """Rounded from ten digits, ties away from zero: sums that err by the order of their rows round alike."""
+    return rounded(F.round(x, 10), digits)
+
+
 def half_up(x: Column, digits: int) -> Column:
     """A non-negative value to nine digits first, then rounded by whole numbers, ties up: sums that err by their order round alike."""
     unit = 10 ** (9 - digits)

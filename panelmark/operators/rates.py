@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmark.functions.scoring import ELEMENT_ANOMALY, PCS_ANOMALY, allowed_anomalies, half_up, is_anomaly, rounded
+from panelmark.functions.scoring import ELEMENT_ANOMALY, PCS_ANOMALY, allowed_anomalies, half_up, is_anomaly, rounded, settled
 
 METRICS = ("throwout_rate", "anomaly_rate", "rule_errors", "avg_deviation")
 
@@ -97,7 +97,7 @@ def type_breakdown(judges: DataFrame, linked: DataFrame, key: str, label: str =
 
 
 def yearly(marks: DataFrame, value: str = "deviation") -> DataFrame:
-    return marks.groupBy("judge_id", "season_start").agg(F.round(F.avg(F.abs(value)), 2).alias("value"), F.count(F.lit(1)).alias("n_marks"))
+    return marks.groupBy("judge_id", "season_start").agg(settled(F.avg(F.abs(value)), 2).alias("value"), F.count(F.lit(1)).alias("n_marks"))
 
 
 def overall_trend(years: DataFrame) -> DataFrame:
@@ -111,11 +111,11 @@ def consistency(years: DataFrame) -> DataFrame:
     """By judge: slope, correlation, trend (stable below a slope of 0.1) and the consistency score of yearly values."""
     spread = F.max("value") - F.min("value")
     own = years.groupBy("judge_id").agg(
-        F.count("value").alias("n_years"), rounded(F.regr_slope("value", "season_start")).alias("slope"), F.var_pop("value").alias("var"), spread.alias("spread")
+        F.count("value").alias("n_years"), settled(F.regr_slope("value", "season_start"), 6).alias("slope"), F.var_pop("value").alias("var"), spread.alias("spread")
     )
     score = F.when(F.col("spread") == 0, 100.0).otherwise(F.greatest(F.lit(0.0), 100 - F.col("var") / (F.col("spread") * F.col("spread") / 4) * 100))
     trend = F.when(F.col("n_years") < 2, "insufficient_data").when(F.abs("slope") < 0.1, "stable").when(F.col("slope") > 0, "increasing").otherwise("decreasing")
-    return own.select("judge_id", "n_years", F.when(F.col("n_years") >= 2, F.col("slope")).alias("slope"), trend.alias("trend"), F.when(F.col("n_years") >= 2, rounded(score, 2)).alias("consistency"))
+    return own.select("judge_id", "n_years", F.when(F.col("n_years") >= 2, F.col("slope")).alias("slope"), trend.alias("trend"), F.when(F.col("n_years") >= 2, settled(score, 2)).alias("consistency"))
 
 
 def significance(marks: DataFrame) -> DataFrame:

@@ -210,6 +210,16 @@ def test_rates_edge_cases(spark):
     assert rates.five_measures(marks.limit(0), ["judge_id"]).count() == 0
 
 
+def test_yearly_ties_do_not_follow_the_order_of_rows(spark):
+    own = [19 / 4, 32 / 7, 8 / 5, 4 / 5, 11 / 5, 17 / 7]  # their mean is 2.725, which sums of doubles miss in some orders
+    for deviations in (own, own[::-1], [*own[:4], own[5], own[4]]):
+        marks = [(1, 2000, d) for d in deviations] + [(1, 2001, 2.0), (1, 2002, 3.0)]
+        years = rates.yearly(spark.createDataFrame(marks, "judge_id long, season_start int, deviation double").coalesce(1))
+        assert sorted(r.value for r in years.collect()) == [2.0, 2.73, 3.0]
+        got = rates.consistency(years).first()
+        assert (got.n_years, got.slope, got.trend, got.consistency) == (3, 0.135, "increasing", 28.63)
+
+
 def test_element_categories(spark):
     codes = {
         "CCoSp3": "Spin", "CoSp3p4": "Spin", "FCSp4V": "Spin", "FSSp3V1": "Spin", "StSq4": "Step Sequence", "3Lz<<": "Jump", "2A": "Jump", "ChSq1": "ChSq", "5TLi4": "Lift", "3Tw2": "Twist", "BiDs3": "Death Spiral",
