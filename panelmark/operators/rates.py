@@ -103,7 +103,7 @@ def yearly(marks: DataFrame, value: str = "deviation") -> DataFrame:
 def overall_trend(years: DataFrame) -> DataFrame:
     """By season over judges: mean, median and population standard deviation of their yearly values."""
     return years.groupBy("season_start").agg(
-        rounded(F.avg("value"), 4).alias("mean"), rounded(F.percentile("value", F.lit(0.5)), 4).alias("median"), rounded(F.stddev_pop("value"), 4).alias("std"), F.count(F.lit(1)).alias("n_judges")
+        settled(F.avg("value"), 4).alias("mean"), rounded(F.percentile("value", F.lit(0.5)), 4).alias("median"), settled(F.stddev_pop("value"), 4).alias("std"), F.count(F.lit(1)).alias("n_judges")
     )
 
 

@@ -220,6 +220,14 @@ def test_yearly_ties_do_not_follow_the_order_of_rows(spark):
         assert (got.n_years, got.slope, got.trend, got.consistency) == (3, 0.135, "increasing", 28.63)
 
 
+def test_trend_ties_do_not_follow_the_order_of_rows(spark):
+    own = [1.61, 1.97, 2.85, 1.55, 1.64, 2.05, 1.58, 2.76]  # their mean is 2.00125
+    for values in (own, [1.64, 1.58, 1.97, 2.76, 2.05, 1.55, 2.85, 1.61]):
+        years = spark.createDataFrame([(2000, v) for v in values], "season_start int, value double").coalesce(1)
+        got = rates.overall_trend(years).first()
+        assert (got.mean, got.median, got.std, got.n_judges) == (2.0013, 1.805, 0.4955, 8)
+
+
 def test_element_categories(spark):
     codes = {
         "CCoSp3": "Spin", "CoSp3p4": "Spin", "FCSp4V": "Spin", "FSSp3V1": "Spin", "StSq4": "Step Sequence", "3Lz<<": "Jump", "2A": "Jump", "ChSq1": "ChSq", "5TLi4": "Lift", "3Tw2": "Twist", "BiDs3": "Death Spiral",
