@@ -37,6 +37,8 @@ FOLDS = 10
 RARER = 100
 CONTEXT, DIMENSIONS, NOISE, NOISE_IN_CLASS = 2, 24, 24, 8
 ROUNDS, BATCH, RATE = 2, 1024, 0.3
+#: Words of one class whose products with the class's noise are taken together.
+ROW = 8
 #: Tokens of which contexts are held at once.
 BLOCK = 1 << 19
 #: Bytes of text that number their words together, and that are cut into words at once.
@@ -166,7 +168,11 @@ def _look_up(docs: pa.Table, found: pa.Table, top: dict[bytes, int], total: np.n
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    e = np.clip(x, -30, 30)
+    np.negative(e, out=e)
+    np.exp(e, out=e)
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
 def _normalised(s: np.ndarray) -> np.ndarray:
@@ -174,6 +180,20 @@ def _normalised(s: np.ndarray) -> np.ndarray:
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
+def _begins(x: np.ndarray) -> np.ndarray:
+    """Where x, not empty, differs from what stands before."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _add(sums: np.ndarray, index: np.ndarray, each: np.ndarray) -> None:
+    """Adds rows (or numbers) to those of sums that index names, repeated ones too; flat, as numpy adds single numbers fast."""
+    if each.ndim > 1:
+        index = (index[:, None] * each.shape[1] + np.arange(each.shape[1])).ravel()
+    np.add.at(sums.reshape(-1), index, each.ravel())
+
+
 class LogBilinear:
     """Parameters over `units` units, the first `words` of them in classes; one more context vector stands before the first token."""
 
@@ -226,52 +246,101 @@ class LogBilinear:
 
     def _step(self, index: np.ndarray, gradients: dict[int, np.ndarray]) -> None:
         """An Adagrad step for the rows `index` (repeated ones are summed) of the parts that have gradients."""
-        index = index.astype(unit_type(len(self.r)))
-        order = np.argsort(index, kind="stable")
-        index = index[order]
-        starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-        rows = index[starts]
+        order = np.argsort(index.astype(unit_type(len(self.r))), kind="stable")
+        new = _begins(index.take(order))
+        rows, rank = index.take(order[new]), np.empty(len(index), np.int64)
+        rank[order] = np.cumsum(new) - 1
         for part, each in gradients.items():
-            g = np.add.reduceat(each[order], starts, axis=0)
-            s = self.past[part][rows] + g * g
+            g = np.zeros((len(rows), *each.shape[1:]), np.float32)
+            _add(g, rank, each)
+            s = g * g
+            s += self.past[part].take(rows, axis=0)
             self.past[part][rows] = s
-            self.parts()[part][rows] -= RATE * g / np.sqrt(s)
+            self._descend(self.parts()[part], rows, g, s)
+
+    def _step_all(self, gradients: dict[int, np.ndarray]) -> None:
+        """An Adagrad step for all rows of the parts: rows whose gradients are 0 stay."""
+        for part, g in gradients.items():
+            self.past[part] += g * g
+            self._descend(self.parts()[part], slice(None), g, self.past[part])
+
+    @staticmethod
+    def _descend(part: np.ndarray, rows: np.ndarray | slice, g: np.ndarray, s: np.ndarray) -> None:
+        g *= RATE
+        g /= np.sqrt(s)
+        part[rows] -= g
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive steps (Adagrad); a batch shares its noise classes, and its words of one class share noise from it."""
+        """One pass of noise-contrastive steps (Adagrad); a batch shares its noise classes, and its words of one class share noise from it.
+
+        A batch is sorted by unit, so that its words come first and a class's words are neighbours. They are cut into rows of at most
+        ROW words with the class's noise, so that the products of all classes are taken by one call.
+        """
         log_noise = np.log(NOISE * self.class_noise).astype(np.float32)
-        cumulative, edges = np.cumsum(self.class_noise), np.r_[0.0, np.cumsum(self.noise[: self.words])]
+        cumulative, edges = np.cumsum(self.class_noise), np.concatenate([[0.0], np.cumsum(self.noise[: self.words])])
         for at in range(0, len(targets), BATCH):
-            x, unit = contexts[at : at + BATCH], targets[at : at + BATCH]
-            n, y = len(unit), self.class_of[unit]
+            unit = targets[at : at + BATCH]
+            order = np.argsort(unit.astype(unit_type(len(self.r))), kind="stable")
+            x, unit = contexts[at : at + BATCH].take(order, axis=0), unit.take(order)
+            n, y, k = len(unit), self.class_of.take(unit), int(np.searchsorted(unit, self.words))
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(cumulative) - 1)
-            h = self.predicted(x)
-            data = np.einsum("ij,ij->i", h, self.q[y]) + self.b[y] - log_noise[y]
-            fake = h @ self.q[drawn].T + self.b[drawn] - log_noise[drawn]
-            g_data, g_fake = (_logistic(data) - 1) / n, _logistic(fake) / n
-            g_h = g_data[:, None] * self.q[y] + g_fake @ self.q[drawn]
-            steps = [(np.r_[y, drawn], {1: np.concatenate([g_data[:, None] * h, g_fake.T @ h]), 3: np.r_[g_data, g_fake.sum(axis=0)]})]
-            own = np.flatnonzero(unit < self.words)
-            if len(own):
-                own = own[np.argsort(y[own].astype(unit_type(len(self.class_noise))), kind="stable")]  # by class: its words share their noise
-                w, h_own = unit[own], h[own]
-                starts = np.flatnonzero(np.r_[True, y[own[1:]] != y[own[:-1]]])
-                first = y[own[starts]] * self.width
+            before = [self.r.take(x[:, j], axis=0) for j in range(CONTEXT)]
+            h = before[0] * self.c[0]
+            for j in range(1, CONTEXT):
+                h += before[j] * self.c[j]
+            q, q_drawn = self.q.take(y, axis=0), self.q.take(drawn, axis=0)
+            g = (_logistic(np.einsum("ij,ij->i", h, q) + self.b.take(y) - log_noise.take(y)) - 1) / n
+            g_fake = h @ q_drawn.T
+            g_fake += self.b.take(drawn) - log_noise.take(drawn)
+            g_fake = _logistic(g_fake)
+            g_fake /= n
+            q *= g[:, None]
+            g_h = g_fake @ q_drawn
+            g_h += q
+            g_q, g_b = np.zeros_like(self.q), np.zeros_like(self.b)
+            _add(g_q, y, g[:, None] * h)
+            _add(g_q, drawn, g_fake.T @ h)
+            _add(g_b, y, g)
+            _add(g_b, drawn, np.ones(n, np.float32) @ g_fake)
+            own = None
+            if k:
+                w, h_own = unit[:k], h[:k]
+                begins = np.flatnonzero(_begins(y[:k]))
+                sizes = np.diff(np.append(begins, k))
+                first = y[begins] * self.width
                 last = np.minimum(first + self.width, self.words)
                 low = edges[first][:, None]
-                noise = np.searchsorted(edges, low + (edges[last][:, None] - low) * rng.random((len(starts), NOISE_IN_CLASS)), "right") - 1
+                noise = np.searchsorted(edges, low + (edges[last][:, None] - low) * rng.random((len(begins), NOISE_IN_CLASS)), "right") - 1
                 noise = np.clip(noise, first[:, None], last[:, None] - 1)
-                of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(own)]))
-                q, q_noise = self.q_in[w], self.q_in[noise][of]
-                g = (_logistic(np.einsum("ij,ij->i", q, h_own) + self.b_in[w] - self.log_noise_in[w]) - 1) / n
-                g_noise = _logistic((q_noise @ h_own[:, :, None])[:, :, 0] + (self.b_in[noise] - self.log_noise_in[noise])[of]) / n
-                g_h[own] += g[:, None] * q + (g_noise[:, None, :] @ q_noise)[:, 0]
-                each = np.add.reduceat(g_noise[:, :, None] * h_own[:, None, :], starts, axis=0).reshape(-1, DIMENSIONS)
-                steps.append((np.r_[w, noise.ravel()], {4: np.concatenate([g[:, None] * h_own, each]), 5: np.r_[g, np.add.reduceat(g_noise, starts, axis=0).ravel()]}))
-            steps.append((x.T.ravel(), {0: np.concatenate([g_h * self.c[j] for j in range(CONTEXT)])}))
-            steps.append((np.arange(CONTEXT), {2: np.stack([np.einsum("ij,ij->j", g_h, self.r[x[:, j]]) for j in range(CONTEXT)])}))
-            for step in steps:
-                self._step(*step)
+                cuts = -(-sizes // ROW)
+                tops = np.cumsum(cuts) - cuts  # a class's first row
+                of = np.repeat(np.arange(len(begins)), cuts)
+                place = np.arange(k) + np.repeat(tops * ROW - begins, sizes)  # of a word among the rows' places
+                padded = np.zeros((len(of) * ROW, DIMENSIONS), np.float32)
+                padded[place] = h_own
+                padded = padded.reshape(-1, ROW, DIMENSIONS)
+                there = np.zeros(len(of) * ROW, np.float32)
+                there[place] = 1 / n
+                q_noise = self.q_in.take(noise.take(of, axis=0), axis=0)
+                g_noise = padded @ q_noise.transpose(0, 2, 1)
+                g_noise += (self.b_in.take(noise) - self.log_noise_in.take(noise)).take(of, axis=0)[:, None]
+                g_noise = _logistic(g_noise)
+                g_noise *= there.reshape(-1, ROW, 1)
+                q = self.q_in.take(w, axis=0)
+                g = (_logistic(np.einsum("ij,ij->i", q, h_own) + self.b_in.take(w) - self.log_noise_in.take(w)) - 1) / n
+                q *= g[:, None]
+                q += (g_noise @ q_noise).reshape(-1, DIMENSIONS).take(place, axis=0)
+                g_h[:k] += q
+                each = np.add.reduceat(g_noise.transpose(0, 2, 1) @ padded, tops, axis=0)
+                sums = np.add.reduceat(g_noise.sum(axis=1), tops, axis=0)
+                own = (np.concatenate([w, noise.ravel()]), {4: np.concatenate([g[:, None] * h_own, each.reshape(-1, DIMENSIONS)]), 5: np.concatenate([g, sums.ravel()])})
+            g_r = np.concatenate([g_h * c for c in self.c])
+            g_c = np.stack([np.einsum("ij,ij->j", g_h, r) for r in before])
+            self._step_all({1: g_q, 3: g_b})
+            if own:
+                self._step(*own)
+            self._step(x.T.ravel(), {0: g_r})
+            self._step_all({2: g_c})
 
 
 def blocks(units: list[np.ndarray]) -> Iterator[tuple[int, int]]:

@@ -244,6 +244,52 @@ def test_log_bilinear_is_normalised_and_learns():
     assert np.allclose(p.sum(axis=1), 1) and p[np.arange(len(targets)), targets].mean() > 0.6
 
 
+def test_a_training_step_is_the_plain_one():
+    """Against single gradients added up one at a time; classes have from no words in the batch to more than are taken together."""
+    units, words, n = 90, 70, 200
+    p = 1 / np.arange(1, units + 1)
+    noise = p / p.sum()
+    rng = np.random.default_rng(1)
+    x, unit = rng.integers(0, units + 1, (n, langmodel.CONTEXT)), rng.choice(units, n, p=noise)
+    unit[unit // 9 == 5] = 0
+    model = langmodel.LogBilinear(units, noise, words)
+    r, q, c, b, q_in, b_in = old = [a.astype(float) for a in model.parts()]
+    grads = [np.zeros_like(a) for a in old]
+    model.train(x, unit, np.random.default_rng(2))
+    rng = np.random.default_rng(2)
+    drawn = np.searchsorted(np.cumsum(model.class_noise), rng.random(langmodel.NOISE))
+    log_noise = np.log(langmodel.NOISE * model.class_noise)
+    present = np.unique(model.class_of[unit[unit < words]])
+    edges = np.r_[0, np.cumsum(noise[:words])]
+    first, last = present * model.width, np.minimum((present + 1) * model.width, words)
+    inner = edges[first][:, None] + (edges[last] - edges[first])[:, None] * rng.random((len(present), langmodel.NOISE_IN_CLASS))
+    inner = dict(zip(present.tolist(), np.searchsorted(edges, inner, "right") - 1))
+    for i in range(n):
+        h = sum(r[x[i, j]] * c[j] for j in range(langmodel.CONTEXT))
+        g_h = np.zeros_like(h)
+
+        def add(vectors, biases, row, minus, label):
+            g = (1 / (1 + np.exp(-(h @ old[vectors][row] + old[biases][row] - minus))) - label) / n
+            grads[vectors][row] += g * h
+            grads[biases][row] += g
+            g_h[:] += g * old[vectors][row]
+
+        y = model.class_of[unit[i]]
+        add(1, 3, y, log_noise[y], 1)
+        for k in drawn:
+            add(1, 3, k, log_noise[k], 0)
+        if unit[i] < words:
+            add(4, 5, unit[i], model.log_noise_in[unit[i]], 1)
+            for k in inner[y]:
+                add(4, 5, k, model.log_noise_in[k], 0)
+        for j in range(langmodel.CONTEXT):
+            grads[0][x[i, j]] += g_h * c[j]
+            grads[2][j] += g_h * r[x[i, j]]
+    assert len(present) < model.classes and np.bincount(model.class_of[unit[unit < words]]).max() > 50
+    for new, past, a, g in zip(model.parts(), model.past, old, grads):
+        assert np.allclose(past, 1e-3 + g * g, atol=1e-6) and np.allclose(new, a - langmodel.RATE * g / np.sqrt(1e-3 + g * g), atol=1e-5)
+
+
 def test_units_grow_and_classes_are_normalised(spark):
     """Two words that follow one another in turn are predicted however many words there are; 600 words have 600 units."""
     assert [langmodel.least_count(10**k) for k in (3, 6, 9)] == [2, 100, 10000]
